@@ -11,7 +11,7 @@ from ..session import stage
 from ..sources.tables import requirements, spread
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def staged_once(spark: SparkSession, sf_dir: str, name: str, build, partition_by=None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation
+from . import curation, evaluation
 
-_AREAS = [curation]
+_AREAS = [curation, evaluation]
 
 
 def queries() -> dict:

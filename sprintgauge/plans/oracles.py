@@ -117,6 +117,134 @@ BLOCKS: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+BLOCKS |= {
+    "folds": (
+        ["capped"],
+        "SELECT dataset_name, issuekey, row_ord, CAST(ntile(5) OVER (PARTITION BY dataset_name"
+        " ORDER BY md5('42:' || issuekey || ':' || row_ord)) AS INTEGER) AS fold FROM capped",
+    ),
+    "intra_roles": (
+        ["folds"],
+        """SELECT dataset_name, split, issuekey, row_ord, CASE WHEN tested THEN 'test'
+  WHEN row_number() OVER (PARTITION BY dataset_name, split, tested
+    ORDER BY md5('holdout42:' || issuekey || ':' || row_ord))
+    <= ceil(count(*) OVER (PARTITION BY dataset_name, split, tested) * CAST(0.2 AS DOUBLE))
+  THEN 'validation' ELSE 'train' END AS role
+FROM (SELECT *, fold = split AS tested FROM folds,
+  (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS split))""",
+    ),
+    "names": (
+        ["capped"],
+        "SELECT dataset_name, row_number() OVER (ORDER BY dataset_name) - 1 AS position,"
+        " count(*) OVER () AS n FROM (SELECT DISTINCT dataset_name FROM capped)",
+    ),
+    "offsets": (
+        ["names"],
+        "SELECT CAST(c.position AS INTEGER) AS cycle, p.dataset_name,"
+        " (p.position - c.position + p.n) % p.n AS gap FROM names c, names p",
+    ),
+    "loo": (
+        ["offsets"],
+        "SELECT cycle, dataset_name, CASE gap WHEN 0 THEN 'test' WHEN 1 THEN 'validation'"
+        " ELSE 'train' END AS role FROM offsets",
+    ),
+    "four_way": (
+        ["offsets"],
+        "SELECT cycle, dataset_name, CASE WHEN gap <= 1 THEN 'train' WHEN gap = 2 THEN"
+        " 'validation' ELSE 'test' END AS role FROM offsets WHERE gap <= 3",
+    ),
+    "labels_loo": (
+        ["loo"],
+        "SELECT cycle, string_agg(dataset_name, '_' ORDER BY dataset_name) FILTER"
+        " (WHERE role = 'train') AS train_set, max(dataset_name) FILTER (WHERE role ="
+        " 'validation') AS validation, max(dataset_name) FILTER (WHERE role = 'test')"
+        " AS test FROM loo GROUP BY cycle",
+    ),
+    "terms": (
+        ["curated"],
+        f"SELECT dataset_name, issuekey, row_ord, term, count(*) AS tf FROM (SELECT dataset_name,"
+        f" issuekey, row_ord, unnest({tokens('treated_description_ml')}) AS term FROM curated)"
+        " GROUP BY ALL",
+    ),
+    "vocabulary": (
+        ["terms", "intra_roles"],
+        """SELECT dataset_name, split, term, sum(tf) AS frequency, count(*) AS df
+FROM terms JOIN intra_roles USING (dataset_name, issuekey, row_ord) WHERE role = 'train'
+GROUP BY dataset_name, split, term QUALIFY row_number() OVER (PARTITION BY dataset_name, split
+  ORDER BY sum(tf) DESC, term) <= 5000""",
+    ),
+    "weights": (
+        ["vocabulary"],
+        """SELECT dataset_name, split, issuekey, row_ord, role, term,
+  w / sqrt(sum(w * w) OVER (PARTITION BY dataset_name, split, row_ord)) AS w
+FROM (SELECT *, tf * (ln((1 + n_train) / CAST(1 + df AS DOUBLE)) + 1) AS w
+  FROM terms JOIN intra_roles USING (dataset_name, issuekey, row_ord)
+  JOIN vocabulary USING (dataset_name, split, term)
+  JOIN (SELECT dataset_name, split, count(*) AS n_train FROM intra_roles
+    WHERE role = 'train' GROUP BY ALL) USING (dataset_name, split))""",
+    ),
+    "neighbours": (
+        ["weights"],
+        """SELECT *, row_number() OVER (PARTITION BY dataset_name, split, query_id
+    ORDER BY distance, neighbour_id) AS rank
+FROM (SELECT q.dataset_name, q.split, q.row_ord AS query_id, c.row_ord AS neighbour_id,
+    round(greatest(q.filled + c.filled - 2 * coalesce(sim, 0), 0), 9) AS distance
+  FROM (SELECT r.*, CASE WHEN EXISTS (FROM weights w WHERE w.dataset_name = r.dataset_name
+      AND w.split = r.split AND w.row_ord = r.row_ord) THEN 1.0::DOUBLE ELSE 0 END AS filled
+    FROM intra_roles r) q
+  JOIN (SELECT r.*, CASE WHEN EXISTS (FROM weights w WHERE w.dataset_name = r.dataset_name
+      AND w.split = r.split AND w.row_ord = r.row_ord) THEN 1.0::DOUBLE ELSE 0 END AS filled
+    FROM intra_roles r) c
+    ON q.dataset_name = c.dataset_name AND q.split = c.split AND q.role = 'test'
+    AND c.role = 'train'
+  LEFT JOIN (SELECT a.dataset_name, a.split, a.row_ord AS qr, b.row_ord AS cr, sum(a.w * b.w) AS sim
+    FROM weights a JOIN weights b USING (dataset_name, split, term)
+    WHERE a.role = 'test' AND b.role = 'train' GROUP BY ALL) s
+    ON s.dataset_name = q.dataset_name AND s.split = q.split AND s.qr = q.row_ord
+    AND s.cr = c.row_ord)
+QUALIFY rank <= 5""",
+    ),
+    "predictions": (
+        ["neighbours"],
+        """SELECT r.dataset_name, r.split, r.issuekey, r.row_ord, storypoint AS y, model, prediction
+FROM intra_roles r JOIN capped USING (dataset_name, issuekey, row_ord) JOIN (
+  SELECT dataset_name, split, NULL AS query_id, 'train_mean' AS model, avg(storypoint) AS prediction
+  FROM intra_roles JOIN capped USING (dataset_name, issuekey, row_ord) WHERE role = 'train' GROUP BY ALL
+  UNION ALL
+  SELECT dataset_name, split, NULL, 'train_median', median(storypoint)
+  FROM intra_roles JOIN capped USING (dataset_name, issuekey, row_ord) WHERE role = 'train' GROUP BY ALL
+  UNION ALL
+  SELECT n.dataset_name, split, query_id, 'knn' || k, avg(storypoint)
+  FROM neighbours n JOIN capped c ON c.row_ord = n.neighbour_id
+    JOIN (SELECT unnest([3, 5]) AS k) ON rank <= k GROUP BY ALL) p
+  ON p.dataset_name = r.dataset_name AND p.split = r.split
+  AND coalesce(p.query_id, r.row_ord) = r.row_ord
+WHERE r.role = 'test'""",
+    ),
+    "inter_predictions": (
+        ["loo"],
+        """SELECT cycle, c.dataset_name, row_ord, storypoint AS y, model, prediction
+FROM capped c JOIN loo USING (dataset_name) JOIN (
+  SELECT cycle, 'train_mean' AS model, avg(storypoint) AS prediction
+  FROM capped JOIN loo USING (dataset_name) WHERE role = 'train' GROUP BY ALL
+  UNION ALL
+  SELECT cycle, 'train_median', median(storypoint)
+  FROM capped JOIN loo USING (dataset_name) WHERE role = 'train' GROUP BY ALL) p USING (cycle)
+WHERE role = 'test'""",
+    ),
+}
+
+# Metrics as SQL over columns y and prediction.
+SQL_METRICS = {
+    "mae": "avg(abs(y - prediction))",
+    "mse": "avg((y - prediction) ** 2)",
+    "rmse": "sqrt(avg((y - prediction) ** 2))",
+    "r2": "CASE WHEN min(y) < max(y) THEN 1 - sum((y - prediction) ** 2) / (var_pop(y) * count(*))"
+          " WHEN sum((y - prediction) ** 2) = 0 THEN 1.0 ELSE 0.0 END",
+    "pearson": "CASE WHEN min(y) < max(y) AND min(prediction) < max(prediction)"
+               " THEN covar_pop(y, prediction) / (stddev_pop(y) * stddev_pop(prediction)) END",
+}
+
 
 def with_blocks(names: list[str], body: str) -> str:
     """``body`` preceded by the blocks it names and all they depend on."""
