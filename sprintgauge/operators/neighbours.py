@@ -163,16 +163,91 @@ def knn_sparse(queries: DataFrame, candidates: DataFrame, group: list[str],
     return top_k(found, [*group, "query_id"], [F.col(c) for c in _ORDER], k)
 
 
+class _Cells:
+    """Pivots that cut the candidates into cells, and how far each cell reaches.
+
+    Everything here is a few numbers per pivot, at most ``MAX_CELLS`` pivots.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.reach = np.full(len(pivots), -np.inf)
+        self.sure = np.full(len(pivots), np.inf)
+
+    def distances(self, vectors: pd.Series) -> np.ndarray:
+        points = np.stack(vectors.to_numpy()).astype(np.float64)
+        out = np.empty((len(points), len(self.pivots)))
+        for at, pivot in enumerate(self.pivots):
+            out[:, at] = np.sqrt(((points - pivot) ** 2).sum(axis=1))
+        return out
+
+    def assign(self, candidates: DataFrame) -> DataFrame:
+        cells = self
+
+        @F.pandas_udf("cell int, apart double")
+        def nearest(vectors: pd.Series) -> pd.DataFrame:
+            apart = cells.distances(vectors)
+            return pd.DataFrame({
+                "cell": apart.argmin(axis=1).astype("int32"), "apart": apart.min(axis=1)})
+
+        return candidates.withColumn("_a", nearest("vec")).select(
+            "_a.cell", "row_id", "vec", "_a.apart")
+
+    def measure(self, assigned: DataFrame, enough: int) -> None:
+        """Per cell: its radius, and a radius that surely holds ``enough`` rows."""
+        nearest_rows = top_k(assigned.select("cell", "row_id", "apart"), ["cell"],
+                             [F.col("apart"), F.col("row_id")], enough, salt_by=["row_id"])
+        for row in assigned.groupBy("cell").agg(F.max("apart").alias("far")).collect():
+            self.reach[row.cell] = row.far
+        for row in nearest_rows.filter(F.col("rank") == enough).collect():
+            self.sure[row.cell] = row.apart
+
+    def visit(self, queries: DataFrame) -> DataFrame:
+        """Each query with every cell that can hold one of its neighbours.
+
+        Some cell surely has enough rows within ``distance to pivot + sure``.
+        By the triangle inequality a cell whose nearest possible row is farther
+        than that cannot contribute, so leaving it out loses nothing.
+        """
+        cells = self
+
+        @F.pandas_udf("array<int>")
+        def reachable(vectors: pd.Series) -> pd.Series:
+            apart = cells.distances(vectors)
+            bound = (apart + cells.sure).min(axis=1)
+            slack = 1e-9 * (1.0 + apart.max(axis=1))
+            hit = apart - cells.reach <= (bound + slack)[:, None]
+            return pd.Series([np.flatnonzero(h).astype("int32") for h in hit])
+
+        return queries.withColumn("cell", F.explode(reachable("vec"))).select(
+            "cell", "row_id", "vec")
+
+
+MAX_CELLS = 64
+
+
 def knn_vectors(queries: DataFrame, candidates: DataFrame, k: int = lexicon.RETRIEVED,
                 exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """k nearest dense vectors by squared L2 distance.
+    """k nearest dense vectors by squared L2 distance, exact.
 
     Both sides carry ``row_id`` and ``vec``. Returns
-    ``query_id, neighbour_id, distance, rank``.
+    ``query_id, neighbour_id, distance, rank``. More than one block of
+    candidates is first cut into cells around pivots, and a query visits only
+    the cells that can matter.
     """
-    cells = lambda df: df.select(F.lit(0).alias("cell"), "row_id", "vec")
-    found = _blocked(cells(queries), cells(candidates), ["cell"], k,
-                     _dense_block, exclude_self, block_rows)
+    queries, candidates = queries.select("row_id", "vec"), candidates.select("row_id", "vec")
+    count = candidates.count()
+    wanted = min(MAX_CELLS, -(-count // block_rows))
+    if wanted <= 1:
+        home = lambda df: df.select(F.lit(0).alias("cell"), "row_id", "vec")
+        sides = home(queries), home(candidates)
+    else:
+        sample = candidates.orderBy(F.md5(F.col("row_id").cast("string"))).limit(wanted)
+        cells = _Cells(np.array([row.vec for row in sample.collect()], dtype=np.float64))
+        assigned = cells.assign(candidates)
+        cells.measure(assigned, k + int(exclude_self))
+        sides = cells.visit(queries), assigned.drop("apart")
+    found = _blocked(*sides, ["cell"], k, _dense_block, exclude_self, block_rows)
     return top_k(found.drop("cell"), ["query_id"], [F.col(c) for c in _ORDER], k)
 
 

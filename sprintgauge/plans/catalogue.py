@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, evaluation
+from . import curation, evaluation, retrieval
 
-_AREAS = [curation, evaluation]
+_AREAS = [curation, evaluation, retrieval]
 
 
 def queries() -> dict:
