@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, evaluation, retrieval
+from . import curation, evaluation, modelling, retrieval
 
-_AREAS = [curation, evaluation, retrieval]
+_AREAS = [curation, evaluation, retrieval, modelling]
 
 
 def queries() -> dict:

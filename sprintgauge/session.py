@@ -56,3 +56,10 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer.parquet(path)
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     return df.sparkSession.read.schema(nullable).parquet(path)
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{staging_root(spark)}/checkpoints")
