@@ -7,7 +7,7 @@ import math
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
 from ..functions.text import tokenize
@@ -31,6 +31,22 @@ def term_df(counts: DataFrame, group: list[str] = ()) -> DataFrame:
     )
 
 
+def token_frequencies(df: DataFrame, tokens: Column) -> DataFrame:
+    """``term, frequency, df`` straight from token arrays.
+
+    Every occurrence counts for the frequency and every distinct term of a row
+    for the document frequency. Both are summed map-side in one aggregation by
+    term, without regrouping by row first.
+    """
+    def counted(terms: Column, frequency: int, documents: int) -> Column:
+        return F.transform(terms, lambda term: F.struct(
+            term.alias("term"), F.lit(frequency).alias("frequency"), F.lit(documents).alias("df")))
+
+    both = F.concat(counted(tokens, 1, 0), counted(F.array_distinct(tokens), 0, 1))
+    return df.select(F.explode(both).alias("_t")).select("_t.*").groupBy("term").agg(
+        F.sum("frequency").alias("frequency"), F.sum("df").alias("df"))
+
+
 def top_terms(frequencies: DataFrame, group: list[str] = (), size: int = lexicon.MAX_TERMS) -> DataFrame:
     """The ``size`` most frequent terms, ties by term, with their ``rank``.
 
@@ -83,11 +99,8 @@ def fit_vectorizer(train: DataFrame, tokens: str = "tokens", output: str = "feat
     Only the vocabulary, at most ``size`` terms with their document frequency,
     reaches the driver. The transform runs row by row in the JVM.
     """
-    exploded = train.select(
-        F.monotonically_increasing_id().alias("_row"), F.explode(tokens).alias("term")
-    )
-    counts = exploded.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = top_terms(term_df(counts), (), size).orderBy("rank").collect()
+    frequencies = token_frequencies(train, F.col(tokens))
+    vocabulary = top_terms(frequencies, (), size).orderBy("rank").collect()
     n = train.count()
     if not vocabulary:
         raise ValueError("no terms in the training rows")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
 from ..functions import metrics
-from .features import term_df, top_terms
+from .features import token_frequencies, top_terms
 
 # Ids of the special tokens; words follow.
 PAD, UNK, CLS, SEP, MASK = range(5)
@@ -25,9 +25,9 @@ def word_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(df: DataFrame, row: list[str], size: int = VOCABULARY) -> DataFrame:
+def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
     """``term, id``: the most frequent words after the special tokens."""
-    ranked = top_terms(term_df(word_counts(df, row)), (), size)
+    ranked = top_terms(token_frequencies(df, word_tokens(F.col(text))), (), size)
     return ranked.select("term", (F.col("rank") + SPECIALS - 1).alias("id"))
 
 

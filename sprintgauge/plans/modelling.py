@@ -107,10 +107,13 @@ def _refit(s, d):
 
 
 def _tfidf_vectors(s, d):
-    return vectors(s, d).select(
-        *KEYS, "part", F.size(F.unwrap_udt("features")["indices"]).alias("terms"),
-        F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, v: a + v * v), 6)
-        .alias("squared_length"))
+    """The sparse vectors as one row per entry, to be told apart from SQL weights."""
+    raw = F.unwrap_udt("features")
+    entries = F.explode(F.arrays_zip(
+        raw["indices"].alias("at"), raw["values"].alias("w"))).alias("_e")
+    return vectors(s, d).select("dataset_name", "row_ord", "part", entries).select(
+        "dataset_name", "row_ord", "part", (F.col("_e.at") + 1).alias("term_rank"),
+        F.round("_e.w", 6).alias("weight"))
 
 
 def _word_vectors(s, d):
@@ -174,7 +177,22 @@ QUERIES = {
     "predictions_sink": _predictions_sink,
 }
 
+o.BLOCKS["parts"] = (["capped"], """SELECT dataset_name, issuekey, row_ord, CASE WHEN
+    row_number() OVER (PARTITION BY dataset_name
+      ORDER BY md5('holdout42:' || issuekey || ':' || row_ord))
+    <= ceil(count(*) OVER (PARTITION BY dataset_name) * CAST(0.2 AS DOUBLE))
+  THEN 'holdout' ELSE 'train' END AS part FROM capped""")
+
 ORACLES = {
+    "tfidf_vectors": o.with_blocks(["terms", "parts"], """
+SELECT dataset_name, row_ord, part, CAST(term_rank AS INTEGER) AS term_rank,
+  round(w / sqrt(sum(w * w) OVER (PARTITION BY row_ord)), 6) AS weight
+FROM (SELECT *, tf * (ln((1 + (SELECT count(*) FROM parts WHERE part = 'train'))
+    / CAST(1 + df AS DOUBLE)) + 1) AS w
+  FROM terms JOIN parts USING (dataset_name, issuekey, row_ord) JOIN (
+    SELECT term, count(*) AS df, row_number() OVER (ORDER BY sum(tf) DESC, term) AS term_rank
+    FROM terms JOIN parts USING (dataset_name, issuekey, row_ord) WHERE part = 'train'
+    GROUP BY term QUALIFY term_rank <= 5000) USING (term))"""),
     "curate_incremental": o.with_blocks(["first_copies"], "SELECT * FROM first_copies"),
     "fold_store": o.with_blocks(["folds"], "SELECT * FROM folds"),
     "ledger_append": ev.ORACLES["fold_summary"].replace(

@@ -68,7 +68,7 @@ def _bert_text(s, d):
 
 
 def words(s, d):
-    return base.staged_once(s, d, "words", lambda: lm.vocabulary(_bert_text(s, d), ROW))
+    return base.staged_once(s, d, "words", lambda: lm.vocabulary(_bert_text(s, d)))
 
 
 def encoded(s, d):
