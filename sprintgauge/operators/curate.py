@@ -32,7 +32,13 @@ def filter_nonblank(df: DataFrame) -> DataFrame:
 
 
 def filter_language(df: DataFrame, language: str = "en") -> DataFrame:
-    return df.filter(detect_language(F.col("description")) == language)
+    """Rows detected as ``language``.
+
+    The label comes out of a generator, which the optimizer does not push
+    filters through: detection stays after a repartition and the cheap filters.
+    """
+    label = F.explode(F.array(detect_language(F.col("description")))).alias("_language")
+    return df.select("*", label).filter(F.col("_language") == language).drop("_language")
 
 
 def filter_iqr(df: DataFrame, width: float = 1.5) -> DataFrame:

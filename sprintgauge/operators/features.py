@@ -14,21 +14,24 @@ from ..functions.text import tokenize
 from .ranking import top_k
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, term, tf``; a row without tokens keeps one row with a NULL term.
+def term_bags(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per requirement with ``bag``, its terms and their counts.
 
-    A row's tokens sit in one partition, so the counts are complete before the
-    shuffle in all but name.
+    Rows are placed by key before they are exploded. Both regroupings then find
+    the rows where they need them: the texts move once and the tokens never.
     """
-    exploded = df.select(*keys, F.explode_outer(tokenize(F.col(text))).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
+    placed = df.select(*keys, text).repartition(*keys)
+    exploded = placed.select(*keys, F.explode_outer(tokenize(F.col(text))).alias("term"))
+    counts = exploded.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
+    entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return counts.groupBy(*keys).agg(F.collect_list(entry).alias("bag"))
 
 
-def term_df(counts: DataFrame, group: list[str] = ()) -> DataFrame:
+def term_df(bags: DataFrame) -> DataFrame:
     """Corpus frequency and document frequency per term."""
-    return counts.filter("term IS NOT NULL").groupBy(*group, "term").agg(
-        F.sum("tf").alias("frequency"), F.count(F.lit(1)).alias("df")
-    )
+    terms = bags.select(F.explode("bag").alias("_t")).select("_t.*")
+    return terms.groupBy("term").agg(
+        F.sum("tf").alias("frequency"), F.count(F.lit(1)).alias("df"))
 
 
 def token_frequencies(df: DataFrame, tokens: Column) -> DataFrame:
@@ -56,37 +59,41 @@ def top_terms(frequencies: DataFrame, group: list[str] = (), size: int = lexicon
     return top_k(frequencies, list(group), order, size, salt_by=["term"])
 
 
-def tfidf_rows(counts: DataFrame, roles: DataFrame, split: list[str], row: list[str],
+def tfidf_rows(bags: DataFrame, roles: DataFrame, split: list[str], row: list[str],
                size: int = lexicon.MAX_TERMS) -> DataFrame:
     """One row per split and requirement: sorted ``idx`` and unit-length ``val``.
 
-    Vocabulary and document frequency come from train rows only. ``counts`` is
-    per requirement, so tokenising is not repeated for the splits. A row
-    without any vocabulary term gets empty arrays.
+    Vocabulary and document frequency come from train rows only. Bags meet the
+    splits as whole rows and are exploded afterwards. A row without any
+    vocabulary term gets empty arrays.
     """
-    shared = [c for c in (*split, *row) if c in counts.columns]
-    in_splits = counts.join(roles.select(*split, *row, "role"), shared)
-    train = in_splits.filter(F.col("role") == "train")
-    vocabulary = top_terms(term_df(train, split), split, size)
+    keys = [*split, *[c for c in row if c not in split]]
+    shared = [c for c in keys if c in bags.columns]
+    in_splits = roles.select(*keys, "role").join(bags, shared)
+    train = (
+        in_splits.filter(F.col("role") == "train")
+        .select(*split, F.explode("bag").alias("_t")).select(*split, "_t.*")
+        .groupBy(*split, "term")
+        .agg(F.sum("tf").alias("frequency"), F.count(F.lit(1)).alias("df"))
+    )
     documents = (
         roles.filter(F.col("role") == "train").groupBy(*split)
         .agg(F.count(F.lit(1)).alias("n_train"))
     )
-    idf = vocabulary.join(documents, split).select(
+    idf = top_terms(train, split, size).join(documents, split).select(
         *split, "term", (F.col("rank") - 1).alias("term_id"),
         (F.log((1 + F.col("n_train")) / (1 + F.col("df"))) + 1).alias("idf"),
     )
+    exploded = in_splits.select(*keys, "role", F.explode_outer("bag").alias("_t"))
+    weighted = exploded.select(*keys, "role", "_t.*").join(idf, [*split, "term"], "left")
     weight = F.col("tf") * F.col("idf")
     entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", weight.alias("w")))
-    gathered = (
-        in_splits.join(idf, [*split, "term"], "left")
-        .groupBy(*split, *row, "role").agg(
-            F.array_sort(F.collect_list(entry)).alias("_e"),
-            F.sqrt(F.sum(weight * weight)).alias("_norm"),
-        )
+    gathered = weighted.groupBy(*keys, "role").agg(
+        F.sort_array(F.collect_list(entry)).alias("_e"),
+        F.sqrt(F.sum(weight * weight)).alias("_norm"),
     )
     return gathered.select(
-        *split, *row, "role",
+        *keys, "role",
         F.transform("_e", lambda e: e["term_id"]).alias("idx"),
         F.transform("_e", lambda e: e["w"] / F.col("_norm")).alias("val"),
     )

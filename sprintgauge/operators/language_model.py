@@ -20,11 +20,6 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
 
 
-def word_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    exploded = df.select(*keys, F.explode(word_tokens(F.col(text))).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
     """``term, id``: the most frequent words after the special tokens."""
     ranked = top_terms(token_frequencies(df, word_tokens(F.col(text))), (), size)
@@ -74,8 +69,7 @@ def mask_tokens(encoded: DataFrame, row: list[str], words: int, seed: int = lexi
     def decide(token: Column, at: Column) -> Column:
         # A one-element transform computes the digest once per position.
         return F.transform(F.array(draws(at)), lambda digest: F.when(
-            (token >= SPECIALS) & (uniform(digest, 1) < rate) | (token == UNK)
-            & (uniform(digest, 1) < rate),
+            ((token >= SPECIALS) | (token == UNK)) & (uniform(digest, 1) < rate),
             F.struct(
                 F.when(uniform(digest, 9) < 0.8, F.lit(MASK))
                 .when(uniform(digest, 9) < 0.9,
@@ -94,21 +88,19 @@ def mask_tokens(encoded: DataFrame, row: list[str], words: int, seed: int = lexi
     )
 
 
-def word_losses(train: DataFrame, heldout: DataFrame) -> DataFrame:
+def word_losses(parts: DataFrame, text: str = "text") -> DataFrame:
     """``term, n, loss`` of held-out words under add-one unigram counts of train.
 
-    Both sides are counted per word before they meet, so the join has one row
-    per distinct word and not one per occurrence.
+    ``parts`` carries ``part`` and the text. Train and held-out occurrences are
+    counted side by side in one aggregation by word.
     """
-    counted = (
-        train.groupBy("term").agg(F.sum("tf").alias("seen"))
-        .join(heldout.groupBy("term").agg(F.sum("tf").alias("n")), "term", "full")
-        .fillna(0, ["seen", "n"])
+    exploded = parts.select("part", F.explode(word_tokens(F.col(text))).alias("term"))
+    counted = exploded.groupBy("term").agg(
+        F.count(F.when(F.col("part") == "train", 1)).alias("seen"),
+        F.count(F.when(F.col("part") == "holdout", 1)).alias("n"),
     )
-    totals = counted.agg(
-        F.struct(F.sum("seen").alias("words"), F.count(F.lit(1)).alias("kinds")).alias("t"))
-    total = totals.select(F.col("t.words") + F.col("t.kinds")).scalar()
-    loss = -F.log((F.col("seen") + 1) / total)
+    total = counted.agg((F.sum("seen") + F.count(F.lit(1))).alias("total"))
+    loss = -F.log((F.col("seen") + 1) / total.scalar())
     return counted.filter("n > 0").select("term", "n", loss.alias("loss"))
 
 

@@ -28,16 +28,14 @@ def intra(s, d):
     return base.staged_once(s, d, "intra", lambda: splits.intra_roles(folds(s, d)))
 
 
-def term_counts(s, d):
-    return base.staged_once(
-        s, d, "terms", lambda: features.term_counts(base.corpus(s, d).select(*ROW, "text"), ROW))
+def bags(s, d):
+    return base.staged_once(s, d, "bags", lambda: features.term_bags(base.corpus(s, d), ROW))
 
 
 def tfidf(s, d):
     return base.staged_once(
         s, d, "tfidf",
-        lambda: features.tfidf_rows(
-            term_counts(s, d), intra(s, d), SPLIT, ["issuekey", "row_ord"]))
+        lambda: features.tfidf_rows(bags(s, d), intra(s, d), SPLIT, ROW))
 
 
 def intra_neighbours(s, d):
@@ -186,8 +184,8 @@ QUERIES = {
     "split_sizes": lambda s, d: splits.split_sizes(intra(s, d), SPLIT),
     "pending_intra": _pending_intra,
     "pending_inter": _pending_inter,
-    "term_df": lambda s, d: features.term_df(term_counts(s, d)),
-    "top_terms": lambda s, d: features.top_terms(features.term_df(term_counts(s, d))),
+    "term_df": lambda s, d: features.term_df(bags(s, d)),
+    "top_terms": lambda s, d: features.top_terms(features.term_df(bags(s, d))),
     "tfidf_weights": _weights,
     "knn_tfidf": lambda s, d: intra_neighbours(s, d).select(
         *SPLIT, "query_id", "neighbour_id", "rank", F.round("distance", 6).alias("distance")),

@@ -87,9 +87,7 @@ def _masked(s, d):
 
 def _perplexity(s, d):
     parts = splits.holdout_split(_bert_text(s, d), lexicon.LM_HOLDOUT)
-    counts = lm.word_counts(parts, ["part", "row_ord"])
-    losses = lm.word_losses(counts.filter("part = 'train'"), counts.filter("part = 'holdout'"))
-    return lm.perplexity(losses)
+    return lm.perplexity(lm.word_losses(parts))
 
 
 def _mean_of_vector():
