@@ -85,8 +85,8 @@ def dedup_first(df: DataFrame, order: str = "row_ord") -> DataFrame:
 
 def limit_per_dataset(df: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` rows per project in file order."""
-    ranked = ordered_rank(df, ["dataset_name"], "row_ord")
-    return ranked.filter(F.col("rank") <= limit).drop("rank", "group_size")
+    ranked = ordered_rank(df, ["dataset_name"], "row_ord", first=limit)
+    return ranked.drop("rank", "group_size")
 
 
 def common_cap(df: DataFrame) -> DataFrame:

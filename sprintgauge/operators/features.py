@@ -13,6 +13,9 @@ from ..functions import lexicon
 from ..functions.text import tokenize
 from .ranking import top_k
 
+# Largest vocabulary table, over all splits, that is sent to every task.
+BROADCAST_ROWS = 2_000_000
+
 
 def term_bags(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per requirement with ``bag``, its terms and their counts.
@@ -84,6 +87,10 @@ def tfidf_rows(bags: DataFrame, roles: DataFrame, split: list[str], row: list[st
         *split, "term", (F.col("rank") - 1).alias("term_id"),
         (F.log((1 + F.col("n_train")) / (1 + F.col("df"))) + 1).alias("idf"),
     )
+    if roles.select(*split).distinct().count() * size <= BROADCAST_ROWS:
+        # At most ``size`` terms per split: small enough to send to every task,
+        # and the exploded terms then stay with their row for the regrouping.
+        idf = F.broadcast(idf)
     exploded = in_splits.select(*keys, "role", F.explode_outer("bag").alias("_t"))
     weighted = exploded.select(*keys, "role", "_t.*").join(idf, [*split, "term"], "left")
     weight = F.col("tf") * F.col("idf")

@@ -21,7 +21,7 @@ def word_tokens(text: Column) -> Column:
 
 
 def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """``term, id``: the most frequent words after the special tokens."""
+    """``term, id``: the at most ``size`` most frequent words after the special tokens."""
     ranked = top_terms(token_frequencies(df, word_tokens(F.col(text))), (), size)
     return ranked.select("term", (F.col("rank") + SPECIALS - 1).alias("id"))
 
@@ -30,15 +30,17 @@ def encode(df: DataFrame, words: DataFrame, row: list[str], text: str = "text",
            length: int = lexicon.SEQUENCE_LENGTH) -> DataFrame:
     """``input_ids`` and ``attention_mask`` of fixed length.
 
-    Rows are cut to the sequence length before they are exploded, so one row
-    adds at most that many tokens to the lookup join and the regrouping.
+    Rows are cut to the sequence length and placed by key before they are
+    exploded. The vocabulary is a capped list, so it is broadcast, and the
+    regrouping finds each row's tokens already together.
     """
     tokens = F.slice(word_tokens(F.col(text)), 1, length - 2)
-    exploded = df.select(*row, F.posexplode_outer(tokens).alias("at", "term"))
-    known = exploded.join(words, "term", "left")
+    placed = df.select(*row, tokens.alias("_w")).repartition(*row)
+    exploded = placed.select(*row, F.posexplode_outer("_w").alias("at", "term"))
+    known = exploded.join(F.broadcast(words), "term", "left")
     token = F.struct("at", F.coalesce("id", F.lit(UNK)).cast("int").alias("id"))
     gathered = known.groupBy(*row).agg(
-        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), token))).alias("_t")
+        F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), token))).alias("_t")
     )
     ids = F.concat(F.array(F.lit(CLS)), F.transform("_t", lambda t: t["id"]), F.array(F.lit(SEP)))
     used = F.size("_t") + 2

@@ -9,7 +9,7 @@ from ..functions import lexicon
 # 4 hex digits: enough buckets to keep a group of 10^11 rows at about 10^6 each.
 _BUCKET_DIGITS = 4
 # Row numbers are unique, so a bucket of this width never holds more rows.
-_ORDER_STEP = 65536
+_ORDER_BITS = 16
 _SALTS = 64
 
 
@@ -19,13 +19,15 @@ def seeded_hash(keys: list[str], seed: int = lexicon.SEED, purpose: str = "") ->
     return F.md5(F.concat_ws(":", *parts))
 
 
-def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
+            first: int | None = None) -> DataFrame:
     """Adds ``rank`` (from 1) and ``group_size``.
 
     Buckets follow the sort order. Their sizes, one short row per bucket, give
     each bucket its starting offset; rows are then numbered inside their bucket
     only. The count is combined map-side, so the hot group costs no more than
-    its even share.
+    its even share. ``first`` keeps that many rows per group; buckets past it
+    drop out at the join, before their rows are sorted.
     """
     keyed = df.withColumn("_bucket", bucket)
     upto = Window.partitionBy(*group).orderBy("_bucket")
@@ -37,12 +39,15 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column]
             F.sum("_n").over(Window.partitionBy(*group)).alias("group_size"),
         )
     )
+    if first is not None:
+        offsets = offsets.filter(F.col("_offset") < first)
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (
+    ranked = (
         keyed.join(offsets, [*group, "_bucket"])
         .withColumn("rank", F.col("_offset") + F.row_number().over(inside))
         .drop("_bucket", "_offset")
     )
+    return ranked if first is None else ranked.filter(F.col("rank") <= first)
 
 
 def seeded_rank(
@@ -55,10 +60,9 @@ def seeded_rank(
     return _ranked(hashed, group, bucket, [F.col("_hash")]).drop("_hash")
 
 
-def ordered_rank(df: DataFrame, group: list[str], order: str) -> DataFrame:
+def ordered_rank(df: DataFrame, group: list[str], order: str, first: int | None = None) -> DataFrame:
     """Rank by an integer column that is unique inside its group."""
-    bucket = F.floor(F.col(order) / _ORDER_STEP).cast("bigint")
-    return _ranked(df, group, bucket, [F.col(order)])
+    return _ranked(df, group, F.shiftright(order, _ORDER_BITS), [F.col(order)], first)
 
 
 def top_k(

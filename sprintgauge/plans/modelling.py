@@ -11,7 +11,7 @@ from ..functions.text import tokenize
 from ..operators import features, regressors as r, scoring, splits, stages
 from ..session import stage, staging_root, use_checkpoints
 from ..sources import sinks
-from . import base, evaluation as ev, oracles as o
+from . import base, evaluation as ev, experiments, oracles as o
 
 KEYS = ["dataset_name", "issuekey", "row_ord"]
 
@@ -156,7 +156,23 @@ def _predictions_sink(s, d):
     return s.read.parquet(path)
 
 
+def _evaluate_inter(s, d):
+    """Two linear models over every leave-one-project-out cycle, as ledger rows."""
+    path = _fresh(s, "inter_ledger")
+    experiments.run_inter(base.curated(s, d), path, ev.VERSION, ("lasso", "elastic_net"))
+    return s.read.parquet(path).drop("executed_at")
+
+
+def _evaluate_intra(s, d):
+    """Lasso over every fold of every project, as ledger rows."""
+    path = _fresh(s, "intra_ledger")
+    experiments.run_intra(base.curated(s, d), path, f"{path}-folds", ev.VERSION, ("lasso",))
+    return s.read.parquet(path).drop("executed_at")
+
+
 QUERIES = {
+    "evaluate_inter": _evaluate_inter,
+    "evaluate_intra": _evaluate_intra,
     "tfidf_vectors": _tfidf_vectors,
     "fit_linear": _fit("linear"),
     "fit_ridge": _fit("ridge"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon
@@ -19,6 +21,10 @@ def _not_missing(value: Column) -> Column:
     return F.when(~value.isin(lexicon.NA_STRINGS), value)
 
 
+def project_names(spark: SparkSession, root: str) -> set[str]:
+    return {p.rsplit("/", 1)[-1].removesuffix(".csv") for p in project_files(spark, root)}
+
+
 def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[str]:
     """Paths of the export files; the file index answers, contents stay unread."""
     listing = (
@@ -37,21 +43,28 @@ def _reader(spark: SparkSession, multi_line: bool):
 
 def scan_columns(
     spark: SparkSession, root: str, required: list[str], optional: list[str] = (),
-    multi_line: bool = True, excluded: list[str] = (),
+    multi_line: bool = True, excluded: list[str] = (), skip: set[str] = frozenset(),
 ) -> DataFrame:
     """Union of the files that have all ``required`` columns, read by header name.
 
+    Projects in ``skip`` and those whose name contains an ``excluded`` literal
+    are left out by file name, so they are never opened.
+
     Files sharing a header are read together, so the union has one branch per
     distinct layout and not one per file. Missing optional columns are NULL.
     ``multi_line=False`` lets Spark split a large export; use it when no quoted
     field holds a line break.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
+    wanted_paths = []
     for path in project_files(spark, root):
         stem = path.rsplit("/", 1)[-1].removesuffix(".csv")
-        if any(literal in stem for literal in excluded):
-            continue
-        header = tuple(_reader(spark, multi_line).csv(path).columns)
+        if stem not in skip and not any(literal in stem for literal in excluded):
+            wanted_paths.append(path)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPool(16) as pool:
+        headers = pool.map(inheritable_thread_target(
+            lambda path: tuple(_reader(spark, multi_line).csv(path).columns)), wanted_paths)
+    for path, header in zip(wanted_paths, headers):
         if set(required) <= set(header):
             layouts.setdefault(header, []).append(path)
     if not layouts:
@@ -81,12 +94,12 @@ def scan_columns(
 
 def scan_requirements(
     spark: SparkSession, root: str, multi_line: bool = True,
-    excluded: list[str] = (lexicon.EXCLUDED_PROJECT,),
+    excluded: list[str] = (lexicon.EXCLUDED_PROJECT,), skip: set[str] = frozenset(),
 ) -> DataFrame:
     """Raw requirements of every project under ``root``."""
     rows = scan_columns(
         spark, root, ["description", "storypoint", "issuekey", "title"],
-        multi_line=multi_line, excluded=excluded,
+        multi_line=multi_line, excluded=excluded, skip=skip,
     )
     return rows.withColumn("storypoint", to_number(strip(F.col("storypoint")))).select(
         "dataset_name", "row_ord", *FIELDS
