@@ -83,14 +83,15 @@ IRREGULAR_LEMMAS = {
     "wrote": "write", "written": "write",
 }
 
-# Suffix rules of the lemma view as (pattern, replacement).
+# Suffix rules of the lemma view as (suffix, pattern, what follows
+# the kept group).
 # They are applied one after the other to each token.
 SUFFIX_RULES = [
-    (r"^([a-z0-9_]{2,})ies$", "y"),
-    (r"^([a-z0-9_]+(?:s|x|z|ch|sh))es$", ""),
-    (r"^([a-z0-9_]*[a-z0-9_][^su0-9_])s$", ""),
-    (r"^([a-z0-9_]*[aeiouy][a-z0-9_]+)ing$", ""),
-    (r"^([a-z0-9_]*[aeiouy][a-z0-9_]+)ed$", ""),
+    ("ies", r"^([a-z0-9_]{2,})ies$", "y"),
+    ("es", r"^([a-z0-9_]+(?:s|x|z|ch|sh))es$", ""),
+    ("s", r"^([a-z0-9_]*[a-z0-9_][^su0-9_])s$", ""),
+    ("ing", r"^([a-z0-9_]*[aeiouy][a-z0-9_]+)ing$", ""),
+    ("ed", r"^([a-z0-9_]*[aeiouy][a-z0-9_]+)ed$", ""),
 ]
 
 # Prompt texts. The study's participants see them verbatim.

@@ -67,7 +67,7 @@ def lemmas(column: str) -> str:
         f"coalesce({sql_list(list(values))}[list_position({sql_list(list(keys))}, t)], t)"
     )
     reduced = irregular
-    for pattern, tail in lexicon.SUFFIX_RULES:
+    for _, pattern, tail in lexicon.SUFFIX_RULES:
         reduced = f"regexp_replace({reduced}, {quoted(pattern)}, '\\1{tail}')"
     mapped = f"list_transform({kept}, lambda t: {reduced})"
     return f"array_to_string(list_filter({mapped}, lambda t: length(t) > 1), ' ')"
