@@ -46,7 +46,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", "bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        # The tables are a few MB: let every core have a share of them.
+        "spark.sql.files.openCostInBytes": "131072",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "65536"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     queries = catalogue.queries()

@@ -10,14 +10,13 @@ from . import lexicon
 def detect_language(text: Column) -> Column:
     """The language whose function words occur most; ``unknown`` without any.
 
-    One regex pass pulls the function words of all languages out of the text,
-    so the per-language counts run over a short array instead of every token.
-    The look-arounds keep the match to whole letter runs. Ties go to the
+    The function words of all languages are picked out of the letter runs
+    first, so the per-language counts go over a short array. Ties go to the
     language listed first.
     """
     everything = sorted({w for words in lexicon.LANGUAGE_WORDS.values() for w in words})
-    pattern = r"(?<!\p{L})(?:" + "|".join(everything) + r")(?!\p{L})"
-    hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    letter_runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    hits = F.filter(letter_runs, lambda run: run.isin(everything))
 
     def count_of(found: Column, words: list[str]) -> Column:
         return F.size(F.filter(found, lambda word: word.isin(words)))

@@ -42,7 +42,7 @@ def target_stats(train: DataFrame) -> tuple[int, float]:
 def linear(**options) -> LinearRegression:
     return LinearRegression(
         **{**_COMMON, "solver": "l-bfgs", "standardization": False, "maxIter": 300,
-           "tol": 1e-9, **options})
+           "tol": 1e-7, **options})
 
 
 def make(name: str, n: int, deviation: float, trees: int = TREES, **options) -> Estimator:

@@ -11,6 +11,7 @@ from ..functions.text import tokenize
 from ..operators import features, regressors as r, scoring, splits, stages
 from ..session import stage, staging_root, use_checkpoints
 from ..sources import sinks
+from ..sources.tables import spread
 from . import base, evaluation as ev, experiments, oracles as o
 
 KEYS = ["dataset_name", "issuekey", "row_ord"]
@@ -42,7 +43,7 @@ def vectors(s, d):
 
 def _parts(s, d):
     use_checkpoints(s)
-    rows = vectors(s, d)
+    rows = spread(vectors(s, d), "row_ord")
     return rows.filter("part = 'train'"), rows.filter("part = 'holdout'")
 
 

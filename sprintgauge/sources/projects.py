@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -13,8 +14,7 @@ from ..functions.answers import to_number
 from ..functions.text import strip
 
 FIELDS = ["issuekey", "title", "description", "storypoint"]
-# Splits of one file start at least this far apart (spark.sql.files.openCostInBytes).
-_SPLIT_STEP = 4 * 1024 * 1024
+_UNITS = {"": 1, "b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
 
 
 def _not_missing(value: Column) -> Column:
@@ -34,6 +34,13 @@ def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[
     return sorted(row.path for row in listing.toLocalIterator())
 
 
+def _split_step(spark: SparkSession) -> int:
+    """Splits of one file start at least this many bytes apart."""
+    number, unit = re.fullmatch(
+        r"(\d+)\s*([a-z]*)", spark.conf.get("spark.sql.files.openCostInBytes").lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
 def _reader(spark: SparkSession, multi_line: bool):
     return (
         spark.read.option("header", True).option("multiLine", multi_line)
@@ -69,7 +76,7 @@ def scan_columns(
             layouts.setdefault(header, []).append(path)
     if not layouts:
         raise ValueError(f"no export under {root} has the columns {required}")
-    branches = []
+    branches, step = [], _split_step(spark)
     for header, paths in sorted(layouts.items()):
         wanted = [c for c in [*required, *optional] if c in header]
         branches.append(
@@ -79,7 +86,7 @@ def scan_columns(
                 # A quotient per split and a running number inside it: file order
                 # as one integer, whatever task reads the split.
                 (F.shiftleft(
-                    F.floor(F.col("_metadata.file_block_start") / _SPLIT_STEP).cast("bigint"), 33
+                    F.floor(F.col("_metadata.file_block_start") / step).cast("bigint"), 33
                 ) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
                 .alias("row_ord"),
                 *[_not_missing(F.col(f"`{c}`")).alias(c) for c in wanted],
