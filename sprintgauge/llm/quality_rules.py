@@ -21,7 +21,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "10 * n_dup_lines > 6 * n_lines",
     "word_length": "word_chars > 20 * n_words OR word_chars < 2 * n_words",
     "capitals": "2 * n_capitals > word_chars",
     "exclamations": "2 * n_exclamations > n_words",

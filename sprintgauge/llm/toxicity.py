@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams.
 
-Features of a text are the set of its words, neighbouring pairs and pairs with one
-word between, lower-cased and without punctuation, hashed to ``DIMENSIONS`` places.
+Features of a text are the set of its words, their stems (first ``STEM`` bytes),
+neighbouring pairs and pairs with one word between, lower-cased and without
+punctuation, hashed to ``DIMENSIONS`` places.
 FTRL-proximal keeps a rate per coordinate and an L1 threshold, so most weights are
 exactly zero. Shards of a bounded sample of labelled rows are fitted side by side,
 each by one task in passes over its rows, and their weights are averaged per
@@ -27,15 +28,17 @@ from .sampling import bounded
 DIMENSIONS = 1 << 20
 #: Bound of the labelled rows that weights are fitted to, and of one shard.
 SAMPLE_ROWS, SHARD_ROWS = 24_000, 6_000
-ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 1.0, 1.0, 4
-_KINDS = (np.uint64(0x51), np.uint64(0xA3), np.uint64(0xC7))
+ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 20.0, 0.0, 8
+#: Bytes of a word's stem, which stands beside the word itself.
+STEM = 4
+_KINDS = (np.uint64(0x51), np.uint64(0xA3), np.uint64(0xC7), np.uint64(0xE5))
 _SHIFT = np.uint64(44)
 
 
 def features(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """``(text, coordinate)`` of each n-gram and skip-gram, repeats included."""
     text, h = W.texts_of(w), w.hashes
-    texts, places = [text], [W.mix(h + _KINDS[0]) >> _SHIFT]
+    texts, places = [text, text], [W.mix(h + _KINDS[0]) >> _SHIFT, W.mix(W.stems(w, STEM) + _KINDS[3]) >> _SHIFT]
     for gap, kind in ((1, _KINDS[1]), (2, _KINDS[2])):
         if len(h) > gap:
             same = text[gap:] == text[:-gap]

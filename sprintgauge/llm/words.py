@@ -138,6 +138,16 @@ def windows(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.arange(n) + length <= last
 
 
+def stems(words: Words, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of each word."""
+    n = len(words.data)
+    powers, inverses = _powers(n + 1)
+    run = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[words.data] * powers[:n], out=run[1:])
+    stop = np.minimum(words.start + size, words.stop)
+    return mix((run[stop] - run[words.start]) * inverses[words.start])
+
+
 def texts_of(words: Words) -> np.ndarray:
     """The text to which each word belongs."""
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
