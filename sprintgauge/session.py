@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Tasks import it by name; a driver's own path does not reach the executors.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        _SHIPPED.add(application)
+        package = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(package):  # else it came as an archive, which is on the path
+            archive = os.path.join(tempfile.mkdtemp(prefix="sprintgauge-"), "sprintgauge.zip")
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+                for folder, _, names in os.walk(package):
+                    for name in names:
+                        if name.endswith(".py"):
+                            path = os.path.join(folder, name)
+                            file.write(path, os.path.relpath(path, os.path.dirname(package)))
+            spark.sparkContext.addPyFile(archive)
+    return spark
 
 
 def build_session(master: str | None = None, app: str = "sprintgauge", **conf: str) -> SparkSession:
@@ -23,7 +47,7 @@ def build_session(master: str | None = None, app: str = "sprintgauge", **conf: s
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -37,9 +61,9 @@ def staging_root(spark: SparkSession) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _LOCAL_ROOTS.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="sprintgauge-")
-        )
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="sprintgauge-")
+        root = _LOCAL_ROOTS[context.applicationId]
     return f"{root.rstrip('/')}/sprintgauge"
 
 

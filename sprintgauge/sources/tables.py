@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
