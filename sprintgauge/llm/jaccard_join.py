@@ -11,12 +11,14 @@ prefix), and sizes within the threshold put them into a common size class.
    indexed by combinations: the hash range is cut into one more part than the sets
    may differ in (plus slack for empty parts), so a pair has a part with exactly
    the same tokens, and the tokens of a part together are one key.
-4. A combination that more than ``RARE`` documents have marks a group of near
-   copies: each is compared with the least id of the group. Only those not joined
-   to the group that way are paired with the others, as far as the triangle
+4. Of its combinations that more than ``RARE`` documents have, a document leaves out as
+   many of the commonest as the spare parts allow. A list still longer marks a group
+   of near copies: each is compared with the least id of the group. Only those not
+   joined to the group that way are paired with the others, as far as the triangle
    inequality of the Jaccard distance leaves open.
-5. Candidates are cut by an upper bound from their prefixes; the rest is verified on
-   whole texts, first one link per document, then what still parts components.
+5. Candidates are cut by upper bounds, from the prefix tokens they share and from parity
+   sketches of fixed size; the rest is verified on whole texts, first one link per
+   document, then what still parts components.
 
 Defined results: a text with fewer words than the n-gram is one token; null and empty
 texts have no tokens and no links; rows of the same id are one vertex with several
@@ -32,14 +34,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 from . import words as W
 from .components import components
 
 RARE = 32
-_SLACK = 3
+SKETCH_BITS = 1024
+_SLACK, _SPARE_SHARE = 3, 0.1
 
 
 class Likeness(NamedTuple):
@@ -64,7 +67,7 @@ class Likeness(NamedTuple):
         """Number of hash ranges in a size class and how many of them may be empty."""
         most = np.exp((size_class + 1) * self._step())
         differ = np.floor(2 * most * (100 - self.percent) / (100 + self.percent) + 1e-6)
-        slack = np.ceil(differ * 0.04) + _SLACK
+        slack = np.ceil(differ * _SPARE_SHARE) + _SLACK
         return (differ + 1 + np.where(differ < 1, 0, slack)).astype(np.int64), np.where(differ < 1, 0, slack).astype(np.int64)
 
 
@@ -90,7 +93,8 @@ def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, prefix``: set size, 128-bit set digest, prefix tokens."""
+    """``doc_id, n_shingles, d1, d2, prefix, sketch``: set size, 128-bit set digest, prefix
+    tokens, and for each of ``SKETCH_BITS`` hash values whether an odd number of tokens has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, found in W.slices(batch, lower=True):
@@ -101,13 +105,33 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
                     run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(token + np.uint64(salt)), dtype=np.uint64)])
                     digests.append(pa.array((run_[first[1:]] - run_[first[:-1]]).view(np.int64)))
                 length = np.where(size > 0, size - like.least(size) + 1, 0)
+                odd = np.bincount(text * SKETCH_BITS + (token >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64),
+                                  minlength=(end - begin) * SKETCH_BITS) & 1
+                sketch = np.packbits(odd.astype(bool)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(begin, end - begin), pa.array(size.astype(np.int64)), *digests,
-                     _lists(length, token[W.ragged(first[:-1], length)])],
-                    ["doc_id", "n_shingles", "d1", "d2", "prefix"])
+                     _lists(length, token[W.ragged(first[:-1], length)]),
+                     _lists(np.full(end - begin, SKETCH_BITS // 64), sketch)],
+                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch array<long>")
+
+
+def _near_enough(pairs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs whose parity sketches leave the threshold within reach.
+
+    Every token that only one of two sets has changes one bit, so the sketches differ
+    in no more bits than the sets in tokens.
+    """
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    bits = F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    # Sizes first: the sketches are compared only where those fit.
+    fits = F.abs(F.col("na") - F.col("nb")) * (100 + like.percent) <= (F.col("na") + F.col("nb")) * (100 - like.percent)
+    near = differ * (100 + like.percent) <= (F.col("na") + F.col("nb")) * (100 - like.percent)
+    return joined.filter(fits & near).select("a", "b").distinct()
 
 
 def _keys(reps: DataFrame, like: Likeness) -> DataFrame:
@@ -130,14 +154,19 @@ def _keys(reps: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _combinations(texts: DataFrame, like: Likeness) -> DataFrame:
-    """``key, doc``: the tokens of each hash range together, per size class."""
+    """``key, doc, wide, spare``: the tokens of each hash range together, per size class.
+
+    There are more ranges than the sets may differ in, by the slack. A pair has at
+    least ``slack + 1`` equal ranges; those that are empty are left out, so ``spare``,
+    the slack less the empty ranges, more keys than one are shared by a pair.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, found in W.slices(batch, lower=True):
                 text, token, n = _sets(found, like.width)
                 doc = batch.column("doc_id").slice(begin, end - begin).to_numpy()
                 own, wide = like.size_class(n), like.size_class(n, widen=True)
-                for size_class, here in ((own, n > 0), (wide, (wide != own) & (n > 0))):
+                for is_wide, size_class, here in ((False, own, n > 0), (True, wide, (wide != own) & (n > 0))):
                     parts, slack = like.parts(size_class)
                     keep = here[text]
                     t, h = text[keep], token[keep]
@@ -153,51 +182,85 @@ def _combinations(texts: DataFrame, like: Likeness) -> DataFrame:
                     use = filled | (empty > slack)[owner]
                     salt = W.mix((size_class[owner] * 1_000_003 + place).astype(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(W.mix(total ^ salt)[use].view(np.int64)), pa.array(doc[owner[use]])], ["key", "doc"])
+                        [pa.array(W.mix(total ^ salt)[use].view(np.int64)), pa.array(doc[owner[use]]),
+                         pa.array(np.full(int(use.sum()), is_wide)),
+                         pa.array(np.maximum(slack - empty, 0)[owner[use]].astype(np.int32))],
+                        ["key", "doc", "wide", "spare"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc long, wide boolean, spare int")
+
+
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Of the crowded keys of each document all but the ``spare`` commonest.
+
+    Two alike documents without an uncrowded key in common share more than ``spare``
+    crowded ones, so they share one of those that are left. A document has no more
+    keys than tokens, which bounds the window.
+    """
+    own = Window.partitionBy("doc", "wide")
+    ranked = rows.select(
+        "*", F.row_number().over(own.orderBy(F.desc("n"), F.desc("key"))).alias("rank"))
+    return ranked.filter("rank > spare").select("key", "doc").distinct()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc long")
 
+def _shared(index: DataFrame, name: str) -> DataFrame:
+    """The rows of ``index`` whose key others have too, with ``n``, how many rows do.
 
-def _pairs_of_short_lists(index: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` under keys of at most ``RARE`` rows."""
-    short = counts.filter(F.col("n").between(2, RARE)).select(F.col("key").alias("k"))
-    lists = index.join(short, F.col("key") == F.col("k")).groupBy("key").agg(
+    The index itself is computed twice and never written: most of its keys are alone.
+    """
+    counts = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{name}-counts")
+    return stage(index.join(counts, "key"), name)
+
+
+def _pairs_of_short_lists(shared: DataFrame) -> DataFrame:
+    """``a, b, c``: pairs ``a < b`` under keys of at most ``RARE`` rows, and under how many."""
+    lists = shared.filter(F.col("n").between(2, RARE)).groupBy("key").agg(
         F.array_sort(F.collect_set("doc")).alias("docs"))
     pairs = F.flatten(F.transform("docs", lambda a, i: F.transform(
         F.slice("docs", i + 2, F.lit(RARE)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return lists.filter(F.size("docs") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    pairs = lists.filter(F.size("docs") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _bounded(pairs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs whose prefixes leave the threshold within reach.
+def _candidates(pairs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs that neither the sketches nor the whole prefixes rule out.
 
-    Up to the lesser of the two last prefix tokens both sets are fully known; beyond,
-    at most the smaller rest can be common.
+    Up to the lesser of the two last prefix tokens both sets are fully known; beyond
+    it at most the smaller rest can be common.
     """
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            pa_, pb = batch.column("pa"), batch.column("pb")
-            va, vb = (p.values.to_numpy(zero_copy_only=False).view(np.uint64) for p in (pa_, pb))
-            oa, ob = pa_.offsets.to_numpy(), pb.offsets.to_numpy()
+            (va, oa), (vb, ob) = ((c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy())
+                                  for c in (batch.column("pa"), batch.column("pb")))
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
                 x, y = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
                 last = min(x[-1], y[-1])
-                i_x, i_y = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
-                common = len(np.intersect1d(x[:i_x], y[:i_y], assume_unique=True))
-                common += min(na[i] - i_x, nb[i] - i_y)
+                known_x, known_y = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
+                common = len(np.intersect1d(x[:known_x], y[:known_y], assume_unique=True))
+                common += min(na[i] - known_x, nb[i] - known_y)
                 keep[i] = 100 * common >= like.percent * (na[i] + nb[i] - common)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    least = F.ceil(F.greatest("na", "nb") * like.percent / 100)
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= least)
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    joined = _near_enough(pairs, reps, like).join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _within_reach(pairs: DataFrame, facts: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs whose shared prefix tokens leave the threshold within reach.
+
+    The set whose prefix ends first has only its rest beyond it, so a pair has at
+    most the rare tokens it was found by, its frequent ones, and the larger rest in
+    common.
+    """
+    side = lambda c: facts.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "rest", "crowd")])
+    common = F.col("c") + F.least("crowd_a", "crowd_b") + F.greatest("rest_a", "rest_b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.filter(common * (100 + like.percent) >= like.percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """``a, b, common, total``: exact overlap and union of each pair's sets."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
@@ -243,7 +306,7 @@ def _left_open(hot: DataFrame, star: DataFrame, comps: DataFrame, like: Likeness
     far = (F.lit(1) - F.col("common") / F.col("total")).alias("far")
     away = star.select(F.col("a").alias("l"), F.col("b").alias("d"), far)
     comp = comps.select(F.col("node").alias("v"), "component")
-    rows = (hot.filter("doc <> leader").join(away, (F.col("leader") == F.col("l")) & (F.col("doc") == F.col("d")))
+    rows = (hot.filter("doc <> leader").join(away, (F.col("leader") == F.col("l")) & (F.col("doc") == F.col("d")), "left")
             .join(comp, F.col("doc") == F.col("v"), "left")
             .select("key", "leader", "doc", "far", F.coalesce("component", "doc").alias("c")))
     of_leader = comps.select(F.col("node").alias("lv"), F.col("component").alias("lc"))
@@ -252,7 +315,8 @@ def _left_open(hot: DataFrame, star: DataFrame, comps: DataFrame, like: Likeness
     x = rows.filter("apart").select(F.col("key"), F.col("doc").alias("x"), F.col("far").alias("fx"), F.col("c").alias("cx"))
     y = rows.select(F.col("key").alias("k"), F.col("doc").alias("y"), F.col("far").alias("fy"), F.col("c").alias("cy"))
     reach = 1 - like.percent / 100 + 1e-9
-    pairs = x.join(y, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("fx") - F.col("fy")) <= reach))
+    open_ = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= reach, F.lit(True))  # null: not near the leader
+    pairs = x.join(y, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & open_)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -262,30 +326,35 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stage(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     key = ["n_shingles", "d1", "d2"]
-    reps = filled.join(same, key).filter("doc_id = rep").select("doc_id", "n_shingles", "prefix", "d1", "d2")
+    reps = filled.join(same, key).filter("doc_id = rep").select("doc_id", "n_shingles", "prefix", "sketch", "d1", "d2")
     reps = stage(reps.dropDuplicates(["doc_id", *key]).drop("d1", "d2"), "jaccard-representatives")
     copies = filled.join(same, key).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    index = _keys(reps, like)
-    counts = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-counts")
-    pairs = stage(_bounded(_pairs_of_short_lists(index, counts), reps, like), "jaccard-pairs")
-    frequent = counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"))
-    crowded = index.join(frequent, F.col("key") == F.col("k")).select(F.col("doc").alias("doc"))
-    wanted = stage(crowded.withColumn("crowded", F.lit(True)).unionByName(
+    shared = _shared(_keys(reps, like), "jaccard-index")
+    crowded = shared.filter(F.col("n") > RARE).groupBy("doc").agg(F.count(F.lit(1)).alias("crowd"))
+    facts = reps.groupBy(F.col("doc_id").alias("id")).agg(
+        F.min("n_shingles").alias("size"), F.max(F.col("n_shingles") - F.size("prefix")).alias("rest"))
+    facts = facts.join(crowded, F.col("id") == F.col("doc"), "left").select(
+        "id", "size", "rest", F.coalesce("crowd", F.lit(0)).alias("crowd"))
+    facts = stage(facts, "jaccard-facts")
+    pairs = stage(_within_reach(_pairs_of_short_lists(shared), facts, like), "jaccard-pairs")
+    wanted = stage(facts.filter("crowd > 0").select(F.col("id").alias("doc"), F.lit(True).alias("crowded")).unionByName(
         pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.lit(False).alias("crowded")))
         .groupBy("doc").agg(F.max("crowded").alias("crowded")), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stage(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "crowded"), "jaccard-texts")
 
-    combos = stage(_combinations(texts.filter("crowded"), like), "jaccard-combinations")
-    counts = combos.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("leader")).filter("n > 1")
-    counts = stage(counts, "jaccard-combination-counts")
-    pairs = pairs.unionByName(_bounded(_pairs_of_short_lists(combos, counts), reps, like)).distinct()
-    pairs = stage(pairs, "jaccard-candidates")
-    large = counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leader")
-    hot = stage(combos.join(large, F.col("key") == F.col("k")).select("key", "doc", "leader").distinct(), "jaccard-large")
+    combos = _shared(_combinations(texts.filter("crowded"), like), "jaccard-combinations")
+    hot = stage(_rarest(combos.filter(F.col("n") > RARE)), "jaccard-crowded")
+    hot_counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("leader")).filter("n > 1")
+    hot_counts = stage(hot_counts, "jaccard-crowded-counts")
+    pairs = pairs.unionByName(_pairs_of_short_lists(combos).select("a", "b"))
+    pairs = pairs.unionByName(_pairs_of_short_lists(hot.join(hot_counts.select("key", "n"), "key")).select("a", "b"))
+    pairs = stage(_candidates(pairs.distinct(), reps, like), "jaccard-candidates")
+    large = hot_counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leader")
+    hot = stage(hot.join(large, F.col("key") == F.col("k")).select("key", "doc", "leader"), "jaccard-large")
     star = hot.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    star = stage(_verified(star, texts, like), "jaccard-stars")
+    star = stage(_verified(_candidates(star, reps, like), texts, like), "jaccard-stars")
 
     # One link per document first; then only what still parts components.
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -293,7 +362,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     links = copies.unionByName(_alike(star, like)).unionByName(_alike(nearest, like))
     comps = stage(components(links), "jaccard-components")
     seen = star.select("a", "b").unionByName(nearest.select("a", "b"))
-    rest = pairs.unionByName(_left_open(hot, star, comps, like)).distinct().join(seen, ["a", "b"], "left_anti")
+    rest = pairs.unionByName(_candidates(_left_open(hot, star, comps, like), reps, like)).distinct().join(seen, ["a", "b"], "left_anti")
     rest = stage(_alike(_verified(_same(rest, comps), texts, like), like), "jaccard-rest")
     # Components of components: the first ones are stars around their least id.
     first = comps.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
