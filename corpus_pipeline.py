@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sprintgauge.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 from sprintgauge.llm.queries import PII_KEY, tokenizer_path
-from sprintgauge.session import stage
+from sprintgauge.session import ship_package, stage
 from sprintgauge.sources.tables import table
 
 
@@ -22,11 +22,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group linked by 5-word shingles at 0.8."""
+    ship_package(spark)
     return jaccard_join.keep_one(docs, jaccard_join.Likeness(width=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found; rows with a null id stay."""
+    ship_package(spark)
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
     found = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(found, docs["doc_id"].cast("long") == F.col("__leak"), "left_anti")
@@ -43,6 +45,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of each document that is left."""
+    ship_package(spark)
     return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
