@@ -12,27 +12,52 @@ from pyspark.sql import Column, functions as F, types as T
 SILENT_ELEMENTS = {"script", "style", "template", "rt", "rp"}
 
 
+# Elements that have no content and no end tag.
+VOID_ELEMENTS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_CDATA = "CDATA["
+
+
 class _TextNodes(HTMLParser):
-    """Collects text nodes; entities are decoded by the base class."""
+    """Collects text nodes outside silent elements; entities are decoded by the base class.
+
+    The open elements are kept on a stack: an end tag closes what was opened inside
+    it, so a silent element left open ends with its parent. CDATA sections are text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
-        self.silent: list[str] = []
+        self.open: list[str] = []
+        self.silent = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT_ELEMENTS:
-            self.silent.append(tag)
+        if tag not in VOID_ELEMENTS:
+            self.open.append(tag)
+            self.silent += tag in SILENT_ELEMENTS
+
+    def handle_startendtag(self, tag, attrs):
+        pass
 
     def handle_endtag(self, tag):
-        if tag in self.silent:
-            while self.silent.pop() != tag:
-                pass
+        if tag in self.open:
+            while True:
+                closed = self.open.pop()
+                self.silent -= closed in SILENT_ELEMENTS
+                if closed == tag:
+                    break
 
     def handle_data(self, data):
         if not self.silent:
             self.pieces.append(data)
 
+    def unknown_decl(self, data):
+        if data.startswith(_CDATA):
+            self.handle_data(data[len(_CDATA):].removesuffix("]]"))
+
+    def handle_comment(self, data):  # newer parsers report CDATA outside foreign content here
+        if data.startswith("[" + _CDATA):
+            self.handle_data(data[len(_CDATA) + 1:].removesuffix("]]"))
+
 
 def _text_of(markup: str | None) -> str | None:
     if markup is None:

@@ -55,7 +55,7 @@ def filter_iqr(df: DataFrame, width: float = 1.5) -> DataFrame:
         (F.col("_q")[1] + width * (F.col("_q")[1] - F.col("_q")[0])).alias("_high"),
     )
     return (
-        df.join(fences, "dataset_name")
+        df.join(F.broadcast(fences), "dataset_name")  # one row per project
         .filter(F.col("storypoint").between(F.col("_low"), F.col("_high")))
         .drop("_low", "_high")
     )
@@ -72,15 +72,12 @@ def concat_title(df: DataFrame, null_title: str = "nan") -> DataFrame:
 def dedup_first(df: DataFrame, order: str = "row_ord") -> DataFrame:
     """First row per project and text.
 
-    An aggregate and not a window: copies collapse before the shuffle, so a
-    text that makes up a third of all rows reaches its reducer once per task.
+    Texts are compared by SHA-256, so the aggregate is a hash aggregate over short
+    keys: copies collapse before the shuffle, and texts travel once, to the semi-join.
     """
-    keys = ["dataset_name", "description"]
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(
-        *[c if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    )
+    first = df.groupBy("dataset_name", F.sha2("description", 256).alias("_text")).agg(F.min(order).alias("_first"))
+    first = first.select(F.col("dataset_name").alias("_project"), "_first")
+    return df.join(first, F.col("dataset_name").eqNullSafe(F.col("_project")) & (F.col(order) == F.col("_first")), "left_semi")
 
 
 def limit_per_dataset(df: DataFrame, limit: int) -> DataFrame:
@@ -120,8 +117,11 @@ def treat(df: DataFrame, view: str = "both", native: bool = False) -> DataFrame:
     ``native=True`` drops tags by pattern and leaves entities as they are.
     """
     plain = clean_ascii(as_text(F.col("description")))
-    plain = strip_tags(plain) if native else html_to_text(plain)
-    with_text = df.withColumn("treated_description_bert", plain)
+    # The cleaned text is a column of its own: the next step looks at it three times.
+    with_text = df.withColumn("_cleaned", plain)
+    cleaned = F.col("_cleaned")
+    with_text = with_text.withColumn(
+        "treated_description_bert", strip_tags(cleaned) if native else html_to_text(cleaned)).drop("_cleaned")
     if view == "bert":
         return with_text.withColumnRenamed("treated_description_bert", "treated_description")
     with_both = with_text.withColumn(

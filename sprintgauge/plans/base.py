@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import curate as ops
 from ..session import stage
-from ..sources.tables import requirements, spread
+from ..sources.tables import requirements
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 _LOCK = threading.RLock()
@@ -35,7 +35,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated rows before the common cap, from scratch."""
-    rows = ops.filter_language(spread(candidates(spark, sf_dir), "row_ord"))
+    rows = ops.filter_language(candidates(spark, sf_dir))
     return ops.dedup_first(ops.concat_title(rows).select(*ops.CURATED_COLUMNS))
 
 

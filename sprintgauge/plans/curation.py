@@ -10,7 +10,7 @@ from ..functions.language import detect_language
 from ..operators import curate as ops, stats
 from ..session import staging_root
 from ..sources import projects
-from ..sources.tables import requirements, spread, table
+from ..sources.tables import requirements, table
 from . import base, oracles as o
 
 RAW = ["dataset_name", "row_ord", "issuekey", "title", "description", "storypoint"]
@@ -21,12 +21,12 @@ def _raw(spark, sf_dir):
 
 
 def _documents(spark, sf_dir, **columns):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def _pages(spark, sf_dir, column):
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.select("page_id", column.alias("plain"))
 
 
@@ -64,7 +64,7 @@ QUERIES = {
     "filter_cap": lambda s, d: ops.filter_cap(_raw(s, d)),
     "filter_nonblank": lambda s, d: ops.filter_nonblank(_raw(s, d)),
     "filter_language": lambda s, d: ops.filter_language(
-        spread(_raw(s, d), "row_ord")).select("dataset_name", "row_ord", "issuekey"),
+        _raw(s, d)).select("dataset_name", "row_ord", "issuekey"),
     "filter_iqr": lambda s, d: ops.filter_iqr(
         ops.filter_valid_points(requirements(s, d).select(
             "dataset_name", "row_ord", "issuekey", "storypoint"))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, lexicon
 from ..operators import language_model as lm, neighbours, prompting, splits
-from ..sources.tables import requirements, spread, table
+from ..sources.tables import requirements, table
 from . import base, oracles as o
 
 ROW = ["dataset_name", "row_ord"]
@@ -58,7 +58,7 @@ def generated_answers(s, d):
 
 
 def _prompts(s, d, make):
-    rows = spread(requirements(s, d).filter("description IS NOT NULL"), "row_ord")
+    rows = requirements(s, d).filter("description IS NOT NULL")
     return rows.select("issuekey", make(F.col("description")).alias("prompt"))
 
 

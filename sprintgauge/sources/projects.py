@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import functools
-import re
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon
 from ..functions.answers import to_number
 from ..functions.text import strip
 
 FIELDS = ["issuekey", "title", "description", "storypoint"]
-_UNITS = {"": 1, "b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
 
 
 def _not_missing(value: Column) -> Column:
@@ -31,14 +29,26 @@ def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{suffix}").load(root).select("path")
     )
-    return sorted(row.path for row in listing.toLocalIterator())
+    paths = sorted(row.path for row in listing.toLocalIterator())
+    stems = [path.rsplit("/", 1)[-1] for path in paths]
+    if twice := sorted({stem for stem in stems if stems.count(stem) > 1}):
+        raise ValueError(f"several exports are named {twice}: a project is one file")
+    return paths
 
 
-def _split_step(spark: SparkSession) -> int:
-    """Splits of one file start at least this many bytes apart."""
-    number, unit = re.fullmatch(
-        r"(\d+)\s*([a-z]*)", spark.conf.get("spark.sql.files.openCostInBytes").lower()).groups()
-    return int(number) * _UNITS[unit]
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``row_ord``: place of a row in its file, from 0, however files are cut and packed.
+
+    A running id goes up inside each split of a file, wherever it starts. One count
+    per split, the size of the file listing, says where the split begins in its file.
+    """
+    splits = rows.groupBy("dataset_name", "_block").agg(
+        F.min("_running").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("dataset_name").orderBy("_block")
+    splits = splits.select("dataset_name", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_start")).alias("_shift"))
+    joined = rows.join(F.broadcast(splits), ["dataset_name", "_block"])
+    return joined.select("dataset_name", (F.col("_running") + F.col("_shift")).alias("row_ord"),
+                         *[F.col(f"`{c}`") for c in rows.columns[3:]])
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -76,22 +86,16 @@ def scan_columns(
             layouts.setdefault(header, []).append(path)
     if not layouts:
         raise ValueError(f"no export under {root} has the columns {required}")
-    branches, step = [], _split_step(spark)
+    branches = []
     for header, paths in sorted(layouts.items()):
         wanted = [c for c in [*required, *optional] if c in header]
-        branches.append(
-            _reader(spark, multi_line).csv(paths).select(
-                F.regexp_replace(F.col("_metadata.file_name"), r"\.csv\z", "")
-                .alias("dataset_name"),
-                # A quotient per split and a running number inside it: file order
-                # as one integer, whatever task reads the split.
-                (F.shiftleft(
-                    F.floor(F.col("_metadata.file_block_start") / step).cast("bigint"), 33
-                ) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-                .alias("row_ord"),
-                *[_not_missing(F.col(f"`{c}`")).alias(c) for c in wanted],
-            )
+        rows = _reader(spark, multi_line).csv(paths).select(
+            F.regexp_replace(F.col("_metadata.file_name"), r"\.csv\z", "").alias("dataset_name"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_running"),
+            *[_not_missing(F.col(f"`{c}`")).alias(c) for c in wanted],
         )
+        branches.append(_numbered(rows))
     merged = functools.reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), branches
     )

@@ -44,14 +44,3 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
     )
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when the table comes as a handful of files.
-
-    A Parquet file with one row group is read by one task. Tables with at least
-    one file per core are left as they are, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)

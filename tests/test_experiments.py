@@ -38,3 +38,48 @@ def test_a_whole_run_and_its_repeat(spark, tmp_path):
 
 def test_baseline_needs_no_detection_twice(spark, sf_dir):
     assert base.curated(spark, sf_dir).filter(F.col("storypoint") > 8).count() == 0
+
+
+def test_folds_cover_rows_that_came_later(spark, tmp_path):
+    rows = lambda n: spark.range(n).selectExpr("'p' AS dataset_name", "CAST(NULL AS STRING) AS issuekey", "id AS row_ord")
+    path = str(tmp_path / "folds")
+    for n in (10, 40, 40, 25):
+        folds = experiments.covering_folds(rows(n), path)
+        assert [r["count"] for r in folds.groupBy("fold").count().collect()] == [n // 5] * 5
+        assert sorted(r.row_ord for r in folds.collect()) == list(range(n))
+
+
+def test_row_numbers_do_not_depend_on_packing(spark, tmp_path):
+    from sprintgauge.sources import projects
+
+    write_exports(tmp_path / "raw", ["aa", "bb", "cc"])
+    found = []
+    for size, cost in (("128m", "4m"), ("200", "1"), ("10m", "0")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        rows = projects.scan_requirements(spark, str(tmp_path / "raw"), multi_line=False)
+        found.append(sorted((r.dataset_name, r.row_ord, r.issuekey) for r in rows.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] == found[2] == [(p, i, f"{p}-{i}") for p in ("aa", "bb", "cc") for i in range(12)]
+
+
+def test_a_broken_run_keeps_what_it_finished(spark, tmp_path, monkeypatch):
+    write_exports(tmp_path / "raw", ["aa", "bb"])
+    rows = experiments.load_projects(spark, str(tmp_path / "raw"), str(tmp_path / "store"))
+    ledger, folds, real = str(tmp_path / "ledger"), str(tmp_path / "folds"), experiments._evaluate
+
+    def breaks(parts, models, name, threads):
+        if parts[0][1].first().dataset_name == "bb":
+            raise RuntimeError("lost")
+        return real(parts, models, name, threads)
+
+    monkeypatch.setattr(experiments, "_evaluate", breaks)
+    try:
+        experiments.run_intra(rows, ledger, folds, "v", ("lasso",))
+    except RuntimeError:
+        pass
+    assert [r.dataset_name for r in spark.read.parquet(ledger).collect()] == ["aa"]
+    monkeypatch.setattr(experiments, "_evaluate", real)
+    made = experiments.run_intra(rows, ledger, folds, "v", ("lasso",))
+    assert {r.dataset_name for r in made.select("dataset_name").distinct().collect()} == {"bb"}

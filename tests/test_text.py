@@ -71,3 +71,14 @@ def test_prompts_keep_braces_and_marker(spark):
     long = " ".join(["w"] * 50)
     cut = column(spark, [long, "short ###"], lambda c: answers.truncate_prompt(c, 10))
     assert cut == ["w w w w w w w w w\n###", "short ###"]
+
+
+def test_text_after_an_unclosed_silent_element_survives():
+    from sprintgauge.functions.html import _text_of
+
+    assert _text_of("<ruby>kanji<rt>kan</ruby> after text") == "kanji after text"
+    assert _text_of("<div><template>x</div> after text") == " after text"
+    assert _text_of("a <![CDATA[kept]]> b") == "a kept b"
+    for parent in ("div", "p", "ruby", "table"):
+        for silent in ("rt", "rp", "template"):
+            assert _text_of(f"<{parent}>a<br><{silent}>no<b>no</{parent}>tail</b>") == "atail"
