@@ -13,9 +13,8 @@ prefix), and sizes within the threshold put them into a common size class.
    the same tokens, and the tokens of a part together are one key.
 4. Of its combinations that more than ``RARE`` documents have, a document leaves out as
    many of the commonest as the spare parts allow. A list still longer marks a group
-   of near copies: each is compared with the least id of the group. Only those not
-   joined to the group that way are paired with the others, as far as the triangle
-   inequality of the Jaccard distance leaves open.
+   of near copies: all are compared with ``LEADERS`` documents of the list, chosen by
+   hash. Only those outside its largest component then look for partners in it.
 5. Candidates are cut by upper bounds, from the prefix tokens they share and from parity
    sketches of fixed size; the rest is verified on whole texts, first one link per
    document, then what still parts components.
@@ -42,6 +41,8 @@ from .components import components
 
 RARE = 32
 SKETCH_BITS = 1024
+#: Documents of a crowded list with which all others of it are compared.
+LEADERS = 4
 _SLACK, _SPARE_SHARE = 3, 0.1
 
 
@@ -301,22 +302,28 @@ def _same(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _left_open(hot: DataFrame, star: DataFrame, comps: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of large groups that neither the star nor the triangle inequality settles."""
-    far = (F.lit(1) - F.col("common") / F.col("total")).alias("far")
-    away = star.select(F.col("a").alias("l"), F.col("b").alias("d"), far)
+def _left_open(hot: DataFrame, comps: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs under one key that are in different components though their sketches allow a link.
+
+    Documents of a list's largest component need no partner inside it, so only the
+    others look for partners; sketches are compared in the join and no other pair
+    becomes a row.
+    """
     comp = comps.select(F.col("node").alias("v"), "component")
-    rows = (hot.filter("doc <> leader").join(away, (F.col("leader") == F.col("l")) & (F.col("doc") == F.col("d")), "left")
-            .join(comp, F.col("doc") == F.col("v"), "left")
-            .select("key", "leader", "doc", "far", F.coalesce("component", "doc").alias("c")))
-    of_leader = comps.select(F.col("node").alias("lv"), F.col("component").alias("lc"))
-    rows = rows.join(of_leader, F.col("leader") == F.col("lv"), "left").select(
-        "key", "doc", "far", "c", (F.col("c") != F.coalesce("lc", "leader")).alias("apart"))
-    x = rows.filter("apart").select(F.col("key"), F.col("doc").alias("x"), F.col("far").alias("fx"), F.col("c").alias("cx"))
-    y = rows.select(F.col("key").alias("k"), F.col("doc").alias("y"), F.col("far").alias("fy"), F.col("c").alias("cy"))
-    reach = 1 - like.percent / 100 + 1e-9
-    open_ = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= reach, F.lit(True))  # null: not near the leader
-    pairs = x.join(y, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & open_)
+    rows = hot.select("key", "doc").join(comp, F.col("doc") == F.col("v"), "left").select(
+        "key", "doc", F.coalesce("component", "doc").alias("c"))
+    main = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k")).agg(
+        F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    facts = reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sketch")
+    rows = rows.join(main, F.col("key") == F.col("k")).join(facts, F.col("doc") == F.col("d"))
+    side = lambda f, c: f.select(F.col("key").alias(f"k{c}"), F.col("doc").alias(c), F.col("c").alias(f"c{c}"),
+                                 F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    x, y = side(rows.filter("c <> main"), "x"), side(rows, "y")
+    bits = F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, n: total + n)
+    most = (F.col("nx") + F.col("ny")) * (100 - like.percent)
+    near = (F.abs(F.col("nx") - F.col("ny")) * (100 + like.percent) <= most) & (differ * (100 + like.percent) <= most)
+    pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & near)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -346,14 +353,17 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     combos = _shared(_combinations(texts.filter("crowded"), like), "jaccard-combinations")
     hot = stage(_rarest(combos.filter(F.col("n") > RARE)), "jaccard-crowded")
-    hot_counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("leader")).filter("n > 1")
+    # Leaders by several hashes: a group that fills much of a list has one of them in it.
+    leaders = F.array_distinct(F.array(*[F.min_by("doc", F.xxhash64(F.lit(i), "doc")) for i in range(LEADERS)]))
+    hot_counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leaders.alias("leaders")).filter("n > 1")
     hot_counts = stage(hot_counts, "jaccard-crowded-counts")
     pairs = pairs.unionByName(_pairs_of_short_lists(combos).select("a", "b"))
     pairs = pairs.unionByName(_pairs_of_short_lists(hot.join(hot_counts.select("key", "n"), "key")).select("a", "b"))
     pairs = stage(_candidates(pairs.distinct(), reps, like), "jaccard-candidates")
-    large = hot_counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leader")
-    hot = stage(hot.join(large, F.col("key") == F.col("k")).select("key", "doc", "leader"), "jaccard-large")
-    star = hot.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    large = hot_counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leaders")
+    hot = stage(hot.join(large, F.col("key") == F.col("k")).select("key", "doc", "leaders"), "jaccard-large")
+    star = hot.select("doc", F.explode("leaders").alias("leader")).filter("doc <> leader").select(
+        F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     star = stage(_verified(_candidates(star, reps, like), texts, like), "jaccard-stars")
 
     # One link per document first; then only what still parts components.
@@ -362,7 +372,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     links = copies.unionByName(_alike(star, like)).unionByName(_alike(nearest, like))
     comps = stage(components(links), "jaccard-components")
     seen = star.select("a", "b").unionByName(nearest.select("a", "b"))
-    rest = pairs.unionByName(_candidates(_left_open(hot, star, comps, like), reps, like)).distinct().join(seen, ["a", "b"], "left_anti")
+    rest = pairs.unionByName(_candidates(_left_open(hot, comps, reps, like), reps, like)).distinct().join(seen, ["a", "b"], "left_anti")
     rest = stage(_alike(_verified(_same(rest, comps), texts, like), like), "jaccard-rest")
     # Components of components: the first ones are stars around their least id.
     first = comps.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
