@@ -29,11 +29,17 @@ def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{suffix}").load(root).select("path")
     )
-    paths = sorted(row.path for row in listing.toLocalIterator())
-    stems = [path.rsplit("/", 1)[-1] for path in paths]
-    if twice := sorted({stem for stem in stems if stems.count(stem) > 1}):
-        raise ValueError(f"several exports are named {twice}: a project is one file")
-    return paths
+    return sorted(row.path for row in listing.toLocalIterator())
+
+
+def _one_file_each(spark: SparkSession, root: str) -> None:
+    """Raise when two exports have one name: rows of a project would share numbers."""
+    seen: set[str] = set()
+    for path in project_files(spark, root):
+        name = path.rsplit("/", 1)[-1]
+        if name in seen:
+            raise ValueError(f"several exports are named {name}: a project is one file")
+        seen.add(name)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -42,13 +48,13 @@ def _numbered(rows: DataFrame) -> DataFrame:
     A running id goes up inside each split of a file, wherever it starts. One count
     per split, the size of the file listing, says where the split begins in its file.
     """
-    splits = rows.groupBy("dataset_name", "_block").agg(
+    splits = rows.groupBy("_file", "_block").agg(
         F.min("_running").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("dataset_name").orderBy("_block")
-    splits = splits.select("dataset_name", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_start")).alias("_shift"))
-    joined = rows.join(F.broadcast(splits), ["dataset_name", "_block"])
+    before = Window.partitionBy("_file").orderBy("_block")
+    splits = splits.select("_file", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_start")).alias("_shift"))
+    joined = rows.join(F.broadcast(splits), ["_file", "_block"])
     return joined.select("dataset_name", (F.col("_running") + F.col("_shift")).alias("row_ord"),
-                         *[F.col(f"`{c}`") for c in rows.columns[3:]])
+                         *[F.col(f"`{c}`") for c in rows.columns[4:]])
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -91,6 +97,7 @@ def scan_columns(
         wanted = [c for c in [*required, *optional] if c in header]
         rows = _reader(spark, multi_line).csv(paths).select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.csv\z", "").alias("dataset_name"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_running"),
             *[_not_missing(F.col(f"`{c}`")).alias(c) for c in wanted],
@@ -107,7 +114,8 @@ def scan_requirements(
     spark: SparkSession, root: str, multi_line: bool = True,
     excluded: list[str] = (lexicon.EXCLUDED_PROJECT,), skip: set[str] = frozenset(),
 ) -> DataFrame:
-    """Raw requirements of every project under ``root``."""
+    """Raw requirements of every project under ``root``, one file per project."""
+    _one_file_each(spark, root)
     rows = scan_columns(
         spark, root, ["description", "storypoint", "issuekey", "title"],
         multi_line=multi_line, excluded=excluded, skip=skip,

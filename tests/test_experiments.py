@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sprintgauge.plans import base, experiments
@@ -61,6 +62,9 @@ def test_row_numbers_do_not_depend_on_packing(spark, tmp_path):
         found.append(sorted((r.dataset_name, r.row_ord, r.issuekey) for r in rows.collect()))
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
+    write_exports(tmp_path / "raw" / "more", ["aa"])
+    with pytest.raises(ValueError, match="aa.csv"):
+        projects.scan_requirements(spark, str(tmp_path / "raw"))
     assert found[0] == found[1] == found[2] == [(p, i, f"{p}-{i}") for p in ("aa", "bb", "cc") for i in range(12)]
 
 
