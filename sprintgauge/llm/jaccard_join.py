@@ -29,11 +29,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 from . import words as W
@@ -119,15 +121,25 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch array<long>")
 
 
+def _spread_sketch(name: str) -> list[Column]:
+    """The numbers of a sketch as columns ``name0, name1, ...``: compared without lambdas they stay in generated code."""
+    return [F.col("sketch")[i].alias(f"{name}{i}") for i in range(SKETCH_BITS // 64)]
+
+
+def _differ(x: str, y: str) -> Column:
+    """In how many bits two spread sketches differ."""
+    bits = [F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(SKETCH_BITS // 64)]
+    return reduce(add, bits).cast("long")
+
+
 def _near_enough(pairs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
     """Pairs whose parity sketches leave the threshold within reach.
 
     Every token that only one of two sets has changes one bit, so the sketches differ
     in no more bits than the sets in tokens.
     """
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    bits = F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), *_spread_sketch(f"s{c}"))
+    differ = _differ("sa", "sb")
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     # Sizes first: the sketches are compared only where those fit.
     fits = F.abs(F.col("na") - F.col("nb")) * (100 + like.percent) <= (F.col("na") + F.col("nb")) * (100 - like.percent)
@@ -317,10 +329,9 @@ def _left_open(hot: DataFrame, comps: DataFrame, reps: DataFrame, like: Likeness
     facts = reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sketch")
     rows = rows.join(main, F.col("key") == F.col("k")).join(facts, F.col("doc") == F.col("d"))
     side = lambda f, c: f.select(F.col("key").alias(f"k{c}"), F.col("doc").alias(c), F.col("c").alias(f"c{c}"),
-                                 F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+                                 F.col("size").alias(f"n{c}"), *_spread_sketch(f"s{c}"))
     x, y = side(rows.filter("c <> main"), "x"), side(rows, "y")
-    bits = F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
-    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, n: total + n)
+    differ = _differ("sx", "sy")
     most = (F.col("nx") + F.col("ny")) * (100 - like.percent)
     near = (F.abs(F.col("nx") - F.col("ny")) * (100 + like.percent) <= most) & (differ * (100 + like.percent) <= most)
     pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("cx") != F.col("cy")) & near)
