@@ -106,6 +106,28 @@ def tfidf_rows(bags: DataFrame, roles: DataFrame, split: list[str], row: list[st
     )
 
 
+def corpus_tfidf(bags: DataFrame, row: list[str]) -> DataFrame:
+    """One row per bag: sorted ``idx`` and unit-length ``val`` over every term.
+
+    No vocabulary is drawn up: ``idx`` is the 64-bit hash of a term, so rare terms
+    count too and no list of terms is capped or broadcast. A row without terms gets
+    empty arrays.
+    """
+    documents = bags.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = term_df(bags).select(
+        "term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
+    terms = bags.select(*row, F.explode_outer("bag").alias("_t")).select(*row, "_t.*")
+    weight = F.col("tf") * F.col("idf")
+    entry = F.when(F.col("idf").isNotNull(), F.struct(
+        F.xxhash64("term").alias("term_id"), weight.alias("w")))
+    gathered = terms.join(idf, "term", "left").groupBy(*row).agg(
+        F.sort_array(F.collect_list(entry)).alias("_e"),
+        F.sqrt(F.sum(weight * weight)).alias("_norm"))
+    return gathered.select(
+        *row, F.transform("_e", lambda e: e["term_id"]).alias("idx"),
+        F.transform("_e", lambda e: e["w"] / F.col("_norm")).alias("val"))
+
+
 def fit_vectorizer(train: DataFrame, tokens: str = "tokens", output: str = "features",
                    size: int = lexicon.MAX_TERMS) -> PipelineModel:
     """Sparse TF-IDF vectors from one aggregation over the train rows.

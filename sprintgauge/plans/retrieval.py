@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import answers, lexicon
-from ..operators import language_model as lm, neighbours, prompting, splits
+from ..operators import features, language_model as lm, neighbours, prompting, splits
 from ..sources.tables import requirements, table
 from . import base, oracles as o
 
@@ -24,27 +24,34 @@ def _knn_join(s, d):
 
 
 def retrievable(s, d):
-    """Curated rows that have an embedding."""
-    rows = base.curated(s, d).select(
+    """Every curated row: each is a query and a candidate."""
+    return base.curated(s, d).select(
         F.col("row_ord").alias("row_id"), "issuekey", "description", "storypoint")
-    return rows.join(_vectors(s, d), "row_id")
+
+
+def description_vectors(rows):
+    """TF-IDF of each row's own description; one group, as a column for the joins."""
+    bags = features.term_bags(rows, ["row_id"], "description")
+    return features.corpus_tfidf(bags, ["row_id"]).withColumn(
+        "cell", F.pmod(F.col("row_id"), F.lit(1)).cast("int"))
 
 
 def retrieved(s, d):
     def build():
-        rows = retrievable(s, d).select("row_id", "vec")
-        return neighbours.knn_vectors(rows, rows, exclude_self=True)
+        rows = base.staged_once(
+            s, d, "description_vectors", lambda: description_vectors(retrievable(s, d)))
+        return neighbours.knn_sparse(
+            rows, rows, ["cell"], lexicon.RETRIEVED, exclude_self=True).drop("cell")
     return base.staged_once(s, d, "retrieved", build)
 
 
 def _few_shot(s, d):
-    rows = retrievable(s, d).drop("vec")
-    return prompting.few_shot_prompts(rows, retrieved(s, d))
+    return prompting.few_shot_prompts(retrievable(s, d), retrieved(s, d))
 
 
 def _neighbour_answers(s, d):
-    rows = retrievable(s, d).drop("vec")
-    return prompting.parse_answers(prompting.neighbour_answers(rows, retrieved(s, d)))
+    return prompting.parse_answers(
+        prompting.neighbour_answers(retrievable(s, d), retrieved(s, d)))
 
 
 def generated_answers(s, d):
