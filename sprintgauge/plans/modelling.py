@@ -15,6 +15,8 @@ from ..sources.tables import table
 from . import base, evaluation as ev, experiments, oracles as o
 
 KEYS = ["dataset_name", "issuekey", "row_ord"]
+#: The families whose settings the study searches.
+TUNED = ("forest", "boosted_deep", "boosted_shallow")
 
 
 def _vectorizer(s, d):
@@ -66,21 +68,21 @@ def _fit_stacking(s, d):
     train, test = _parts(s, d)
     folded = splits.fold_join(train, splits.kfold_assign(train.select(*KEYS)))
     folded = base.staged_once(s, d, "stacking_rows", lambda: folded)
-    predict = r.fit_stacking(folded, stage=lambda df: stage(df, "level_two"), trees=10)
+    predict = r.fit_stacking(folded, stage=lambda df: stage(df, "level_two"))
     return predict(test).select(*KEYS, F.col("storypoint").alias("y"),
                                 F.lit("stacking").alias("model"), "prediction")
 
 
 def _tune(s, d):
     train, validation = _parts(s, d)
-    trials = [{**t, "trees": t["trees"] // 10} for t in r.random_trials("boosted_shallow")]
-    found = r.tune("boosted_shallow", train, validation, trials)
-    table = s.createDataFrame(found, "trial int, params string, mae double")
-    return scoring.best_trial(table.withColumn("model", F.lit("boosted_shallow")), ["model"])
+    found = [(family, *trial) for family in TUNED for trial in r.tune(
+        family, train, validation, r.random_trials(family))]
+    table = s.createDataFrame(found, "model string, trial int, params string, mae double")
+    return scoring.best_trial(table, ["model"])
 
 
 def _refit(s, d):
-    """Per four-way cycle: ridge scored on validation, refitted, scored on test."""
+    """Per four-way cycle: every model scored on validation, refitted, scored on test."""
     rows = base.corpus(s, d).select(*KEYS, "storypoint", tokenize(F.col("text")).alias("tokens"))
     roles = splits.four_way_roles(rows)
     held = stage(splits.role_rows(rows, roles), "cycle_rows")
@@ -93,12 +95,14 @@ def _refit(s, d):
                                      (["train", "validation"], "test")):
             train = part.filter(F.col("role").isin(fitted_on))
             vectorizer = features.fit_vectorizer(train)
-            model = r.fit("ridge", features.vectorize(vectorizer, train))
-            test = features.vectorize(vectorizer, part.filter(F.col("role") == tested_on))
-            predictions = r.predict(model, test, "ridge", KEYS).withColumns(
-                {"cycle": F.lit(cycle), "scored_on": F.lit(tested_on)})
-            scores.append(predictions)
-        return scores[0].unionByName(scores[1])
+            train = stage(features.vectorize(vectorizer, train), "refit_train")
+            test = stage(features.vectorize(
+                vectorizer, part.filter(F.col("role") == tested_on)), "refit_test")
+            for model in experiments.MODELS:
+                predictions = experiments.fit_predict(model, train, test).withColumns(
+                    {"cycle": F.lit(cycle), "scored_on": F.lit(tested_on)})
+                scores.append(stage(predictions, "refit_predictions"))
+        return experiments._together(scores)
 
     parts = r.in_parallel(sorted(cycles), run)
     merged = parts[0]
@@ -158,16 +162,16 @@ def _predictions_sink(s, d):
 
 
 def _evaluate_inter(s, d):
-    """Two linear models over every leave-one-project-out cycle, as ledger rows."""
+    """Every model over every leave-one-project-out cycle, as ledger rows."""
     path = _fresh(s, "inter_ledger")
-    experiments.run_inter(base.curated(s, d), path, ev.VERSION, ("lasso", "elastic_net"))
+    experiments.run_inter(base.curated(s, d), path, ev.VERSION)
     return s.read.parquet(path).drop("executed_at")
 
 
 def _evaluate_intra(s, d):
-    """Lasso over every fold of every project, as ledger rows."""
+    """Every model over every fold of every project, as ledger rows."""
     path = _fresh(s, "intra_ledger")
-    experiments.run_intra(base.curated(s, d), path, f"{path}-folds", ev.VERSION, ("lasso",))
+    experiments.run_intra(base.curated(s, d), path, f"{path}-folds", ev.VERSION)
     return s.read.parquet(path).drop("executed_at")
 
 
