@@ -7,9 +7,11 @@ written the same way. The permutation depends on the key and the value alone, so
 values get equal pseudonyms in all documents, and no table of values is kept.
 
 Kinds: payment cards (13 to 19 digits, Luhn), telephone numbers, IPv4 addresses
-(octets up to 255), dates from 1900-01-01 to 2099-12-31 (Y-M-D, M/D/Y, D.M.Y),
-social security numbers, e-mail addresses (the part before @) and access keys.
-A candidate that fails its check is left as it is.
+(octets up to 255), dates from 1900-01-01 to 2099-12-31 (Y-M-D, M/D/Y or else D/M/Y,
+D.M.Y), social security numbers, e-mail addresses (the part before @) and access keys.
+A run of numbers that is no card as a whole is searched again, cut at its separators:
+cards first, longest from the left, then dates, telephones and social security numbers
+between them. A candidate that fails its check is left as it is.
 
 Defined results: a null text stays null with no pseudonyms; an empty text stays
 empty; repeated rows stay repeated; other columns are left alone.
@@ -30,7 +32,13 @@ _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|
 _PHONE = r"(?<![0-9.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# A run of numbers of any length: a card may stand anywhere in it. It stops before an
+# address or a date with dots or slashes.
+_NOT_CARD = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9]|[./-][0-9])"
+_CARD = r"(?<![0-9])[0-9](?:(?:[ -](?!" + _NOT_CARD + r"))?[0-9]){12,}+"
+#: What is looked for between the cards of a run.
+_INSIDE = "|".join((_DATE, _PHONE, _SSN))
+_MOST_GROUPS = 19
 PATTERN = "|".join((_EMAIL, _KEY, _DATE, _PHONE, _SSN, _IP, _CARD))
 
 
@@ -127,17 +135,82 @@ def _written_like(digits: Column, value: Column) -> Column:
         .otherwise(c)), "")
 
 
+def _is_card(digits: Column) -> Column:
+    body = digits.substr(F.lit(1), F.length(digits) - 1)
+    return F.length(digits).between(13, 19) & (_check_digit(body) == digits.substr(F.length(digits), F.lit(1)))
+
+
 def _card(value: Column, key: str) -> Column:
     def by_digits(d: Column) -> Column:
         body = d.substr(F.lit(1), F.length(d) - 1)
-        right = _check_digit(body) == d.substr(F.length(d), F.lit(1))
         new = _let(permute_text(body, F.repeat(F.lit("d"), F.length(body)), f"{key}:card"),
                    lambda p: F.concat(p, _check_digit(p)))
-        return F.when(right, _let(new, lambda n: _written_like(n, value)))
+        return F.when(_is_card(d), _let(new, lambda n: _written_like(n, value)))
 
     return _let(_digits(value), by_digits)
 
 
+def _replaced(text: Column, pattern: str, new_of) -> Column:
+    """``text, n``: what ``pattern`` finds replaced by ``new_of``, which gives ``text, n`` or null."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                        lambda m: F.struct(m.alias("old"), new_of(m).alias("new")))
+    return _let(found, lambda f: F.struct(
+        F.array_join(F.flatten(F.zip_with(
+            F.split(text, pattern), f,
+            lambda piece, m: F.array(piece, F.coalesce(m["new"]["text"], m["old"], F.lit(""))))), "").alias("text"),
+        F.aggregate(f, F.lit(0), lambda a, m: a + F.coalesce(m["new"]["n"], F.lit(0))).alias("n")))
+
+
+def _one(new: Column) -> Column:
+    return _let(new, lambda v: F.when(v.isNotNull(), F.struct(v.alias("text"), F.lit(1).alias("n"))))
+
+
+def _run(value: Column, key: str) -> Column:
+    """``text, n`` of a run of numbers that is no card as a whole."""
+    def glue(groups: Column, start: Column, count: Column) -> Column:
+        return F.array_join(F.slice(groups, start + 1, count), "")
+
+    def cards(groups: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,n:int>>").alias("cuts"))
+
+        def longest(at: Column) -> Column:
+            some = F.slice(groups, at + 1, F.lit(_MOST_GROUPS))
+            return _let(some, lambda w: F.array_max(F.filter(
+                F.sequence(F.lit(1), F.size(w)), lambda k: _is_card(_digits(glue(w, F.lit(0), k))))))
+
+        def step(state: Column, at: Column) -> Column:
+            found = F.when(at >= state["next"], longest(at))
+            return _let(found, lambda k: F.when(k.isNull(), state).otherwise(F.struct(
+                (at + k).alias("next"),
+                F.concat(state["cuts"], F.array(F.struct(at.alias("at"), k.alias("n")))).alias("cuts"))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["cuts"])
+
+    def gap(text: Column) -> Column:
+        lead = F.regexp_extract(text, "^[ -]?", 0)
+        rest = text.substr(F.length(lead) + 1, F.length(text))
+        inside = _replaced(rest, _INSIDE, lambda m: _one(
+            F.when(m.rlike(f"^(?:{_DATE})$"), _date(m, key))
+            .when(m.rlike(f"^(?:{_SSN})$"), _written(m, key)).otherwise(_phone(m, key))))
+        return _let(inside, lambda i: F.struct(F.concat(lead, i["text"]).alias("text"), i["n"].alias("n")))
+
+    def card(text: Column) -> Column:
+        return F.struct(_card(text, key).alias("text"), F.lit(1).alias("n"))
+
+    def rebuilt(groups: Column, cuts: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["at"] + c["n"]))
+        parts = F.flatten(F.transform(F.arrays_zip(ends.alias("end"), cuts.alias("cut")), lambda p: F.array(
+            gap(glue(groups, p["end"], F.coalesce(p["cut"]["at"], F.size(groups)) - p["end"])),
+            F.when(p["cut"].isNotNull(), card(glue(groups, p["cut"]["at"], p["cut"]["n"]))))))
+        return _let(F.filter(parts, lambda p: p.isNotNull()), lambda p: F.struct(
+            F.array_join(F.transform(p, lambda x: x["text"]), "").alias("text"),
+            F.aggregate(p, F.lit(0), lambda a, x: a + x["n"]).alias("n")))
+
+    # Each group with the separator before it.
+    groups = F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return _let(groups, lambda g: _let(cards(g), lambda c: rebuilt(g, c)))
+
+
 def _phone(value: Column, key: str) -> Column:
     def by_digits(all_digits: Column) -> Column:
         country = all_digits.substr(F.lit(1), F.length(all_digits) - 10)
@@ -167,6 +240,7 @@ def _date(value: Column, key: str) -> Column:
 
     def written(day_: Column) -> Column:
         return F.when(iso, F.date_format(day_, "yyyy-MM-dd")).when(
+            day_first, F.date_format(day_, "dd/MM/yyyy")).when(
             us, F.date_format(day_, "MM/dd/yyyy")).otherwise(F.date_format(day_, "dd.MM.yyyy"))
 
     year = F.when(iso, value.substr(1, 4)).otherwise(value.substr(7, 4))
@@ -184,6 +258,9 @@ def _date(value: Column, key: str) -> Column:
             w <= last, written(F.date_add(epoch, w.cast("int"))))))
 
     parsed = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+    other = F.when(us, F.try_to_date(F.concat_ws("-", year, day, month), "yyyy-MM-dd"))
+    day_first = us & parsed.isNull()
+    parsed = F.coalesce(parsed, other)
     return _let(F.datediff(parsed, epoch).cast("long"), permuted)
 
 
@@ -200,9 +277,9 @@ def kind(value: Column) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one candidate; null when it fails its check."""
+    """``text, n`` of one candidate: its pseudonym and how many values it held; null when nothing passed."""
     def of(k: Column) -> Column:
-        return (
+        single = (
             F.when(k == "email", F.concat(_written(F.substring_index(value, "@", 1), key),
                                           F.lit("@"), F.substring_index(value, "@", -1)))
             .when(k == "key", F.concat(F.lit("AKIA"), _written(value.substr(5, 16), key)))
@@ -211,6 +288,9 @@ def pseudonym(value: Column, key: str) -> Column:
             .when(k == "ip", _ip(value, key))
             .when(k == "phone", _phone(value, key))
             .otherwise(_card(value, key)))
+        # A run without a separator has nothing to search inside.
+        inside = F.when((k == "card") & value.rlike("[ -]"), _run(value, key))
+        return _let(_one(single), lambda one: F.coalesce(one, inside))
 
     return _let(kind(value), of)
 
@@ -224,19 +304,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(text_col)
 
-    def rebuilt(found: Column) -> Column:
-        new = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-        return _let(new, lambda n: F.struct(
-            F.array_join(F.flatten(F.zip_with(
-                F.split(text, PATTERN), n,
-                lambda piece, m: F.array(piece, F.coalesce(m["new"], m["old"], F.lit(""))))), "").alias("text"),
-            F.size(F.filter(n, lambda m: m["new"].isNotNull())).alias("n")))
-
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    made = F.when(text.rlike("[0-9@]"), _replaced(text, PATTERN, lambda m: pseudonym(m, key)))
     # The row travels as one struct: no name of its columns can clash with ours.
     made = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        _let(found, lambda f: F.when(F.size(f) > 0, rebuilt(f))).alias("made"))
+        made.alias("made"))
     text = F.coalesce("made.text", F.col(f"row.`{text_col}`"))
     kept = [c for c in docs.columns if c != count_col]
     return made.select(
