@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon
 from ..functions import metrics
+from ..session import stage
 from .features import token_frequencies, top_terms
 
 # Ids of the special tokens; words follow.
 PAD, UNK, CLS, SEP, MASK = range(5)
 SPECIALS = 5
 IGNORED = -100
-VOCABULARY = 30000
 _RANGE = 4294967296.0
 
 
@@ -20,10 +20,24 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """``term, id``: the at most ``size`` most frequent words after the special tokens."""
-    ranked = top_terms(token_frequencies(df, word_tokens(F.col(text))), (), size)
-    return ranked.select("term", (F.col("rank") + SPECIALS - 1).alias("id"))
+def vocabulary(df: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
+    """``term, id``: words after the special tokens, most frequent first, ties by word.
+
+    Every word by default, numbered by sorted partitions and their sizes; with
+    ``size`` the at most ``size`` most frequent, and others become ``UNK``.
+    """
+    frequencies = token_frequencies(df, word_tokens(F.col(text)))
+    if size is not None:
+        ranked = top_terms(frequencies, (), size)
+        return ranked.select("term", (F.col("rank") + SPECIALS - 1).alias("id"))
+    # The id of a row holds its partition and, in the lower 33 bits, its place there.
+    ordered = stage(frequencies.orderBy(F.desc("frequency"), "term").select(
+        "term", F.monotonically_increasing_id().alias("_m")), "ordered_words")
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return ordered.withColumn("_p", part).join(F.broadcast(offsets), "_p").select(
+        "term", (F.col("_before") + inside + SPECIALS).alias("id"))
 
 
 def encode(df: DataFrame, words: DataFrame, row: list[str], text: str = "text",
@@ -31,13 +45,13 @@ def encode(df: DataFrame, words: DataFrame, row: list[str], text: str = "text",
     """``input_ids`` and ``attention_mask`` of fixed length.
 
     Rows are cut to the sequence length and placed by key before they are
-    exploded. The vocabulary is a capped list, so it is broadcast, and the
-    regrouping finds each row's tokens already together.
+    exploded. The vocabulary may be of any size, so its join is left to the
+    engine; only a small one is broadcast.
     """
     tokens = F.slice(word_tokens(F.col(text)), 1, length - 2)
     placed = df.select(*row, tokens.alias("_w")).repartition(*row)
     exploded = placed.select(*row, F.posexplode_outer("_w").alias("at", "term"))
-    known = exploded.join(F.broadcast(words), "term", "left")
+    known = exploded.join(words, "term", "left")
     token = F.struct("at", F.coalesce("id", F.lit(UNK)).cast("int").alias("id"))
     gathered = known.groupBy(*row).agg(
         F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), token))).alias("_t")
