@@ -23,6 +23,7 @@ RIDGE_ALPHA = 1.0
 SPARSE_ALPHA = 0.1
 L1_RATIO = 0.5
 TREE_DEPTH = 10
+FOREST_DEPTH = 30  # the study sets none; MLlib allows no more
 TREES = 100
 DEEP = {"maxDepth": 6, "stepSize": 0.3}
 SHALLOW = {"maxDepth": 5, "stepSize": 0.1}
@@ -63,7 +64,7 @@ def make(name: str, n: int, deviation: float, trees: int = TREES, **options) ->
     if name == "tree":
         return DecisionTreeRegressor(**_TREE, maxDepth=TREE_DEPTH)
     if name == "forest":
-        settings = {"maxDepth": TREE_DEPTH, "numTrees": trees, **options}
+        settings = {"maxDepth": FOREST_DEPTH, "numTrees": trees, **options}
         return RandomForestRegressor(**_TREE, featureSubsetStrategy="all", **settings)
     if name == "boosted_deep":
         return GBTRegressor(**_TREE, **{"maxIter": trees, **DEEP, **options})
