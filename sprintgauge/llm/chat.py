@@ -6,14 +6,15 @@ spans ``start:end`` that a model should learn, which are the speaker's own turns
 System turns stay system turns and are never learnt.
 
 A dialogue longer than ``chunk_turns`` is cut into consecutive chunks of that many
-turns, so no row grows with the longest dialogue; a chunk is rendered for the
-speakers who have a turn in it. Turn ranks come from counts per block of turn
+turns, so no row grows with the longest dialogue; every chunk is rendered for every
+speaker of the whole dialogue, with an empty mask where the speaker is silent. Turn ranks come from counts per block of turn
 numbers, so a dialogue that holds a third of all rows is not handed to one task.
 
 Defined results: turns go by turn number (null first), then role and text; a null
 text is an empty turn, a null role is ``unknown``, rows with a null conversation
 form one dialogue; repeated rows are repeated turns; control marks inside a text are
-defused by a backslash; an empty table gives no rows.
+defused by a backslash; in roles a space is written ``\\s``, a line break ``\\n`` and a
+backslash twice, so that no two speakers become one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def ranked_turns(turns: DataFrame) -> DataFrame:
         "conv_id", "role", "text", (F.col("offset") + F.row_number().over(inside) - 1).alias("rank"))
 
 
+def _name(role: Column) -> Column:
+    """A role as one word; different roles stay different."""
+    for raw, mark in (("\\", "\\\\"), ("<|im_", "<\\|im_"), (" ", "\\s"), ("\n", "\\n")):
+        role = F.replace(role, F.lit(raw), F.lit(mark))
+    return role
+
+
 def _header(role: Column, speaker: Column) -> Column:
     return F.when(role == "system", F.lit("system")).when(role == speaker, F.lit("assistant")).otherwise(
         F.concat(F.lit("user name="), role))
@@ -52,12 +60,16 @@ def perspectives(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     rows = ranked_turns(turns).withColumns({
         "chunk": F.floor(F.col("rank") / chunk_turns).cast("long"),
         "text": safe(F.col("text")),
-        "role": F.regexp_replace(safe(F.col("role")), "[\n ]", "_")})
+        "role": _name(F.col("role"))})
     chunks = rows.groupBy("conv_id", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("rank", "role", "text"))).alias("turns"))
-    speakers = F.array_sort(F.array_distinct(F.filter(
-        F.transform("turns", lambda t: t["role"]), lambda r: r != "system")))
-    each = chunks.select("conv_id", "chunk", "turns", F.explode(speakers).alias("speaker"))
+    # Speakers of the whole dialogue: few rows leave the partial aggregate.
+    speakers = turns.select(
+        F.col("conv_id").alias("c"),
+        _name(F.coalesce(F.col("role").cast("string"), F.lit("unknown"))).alias("speaker"),
+    ).filter("speaker <> 'system'").distinct()
+    each = chunks.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select(
+        "conv_id", "chunk", "turns", "speaker")
     parts = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(OPEN), _header(t["role"], F.col("speaker")), F.lit("\n")).alias("head"),
         t["text"].alias("text"), (t["role"] == F.col("speaker")).alias("learn")))
