@@ -5,7 +5,9 @@ of m characters may occur with up to ``rate * m`` edits (insertions, deletions,
 substitutions). It is cut into one piece more than that, so an occurrence holds at
 least one piece unchanged: pieces are looked up at every place of every whole text by
 their first eight characters, and each hit is verified by Myers' bit-parallel
-distance over the window that the item could cover.
+distance over the window that the item could cover. An item too short for any edit
+counts only where it begins and ends at word borders of the document; scripts written
+without spaces have a border at every character.
 
 The items are the stated query set: they go to the tasks in blocks of about
 ``BLOCK_CHARS`` characters, one scan of the documents per block.
@@ -17,6 +19,7 @@ id; an empty table on either side gives no rows. Only ids and texts are read.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -145,6 +148,18 @@ class Pieces:
         return np.concatenate(found_rows), np.concatenate(found_places)
 
 
+#: Scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def bordered(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` begins and ends at word borders."""
+    def inside(x: str, y: str) -> bool:
+        return all((c.isalnum() or c == "_") and not _UNSPACED.match(c) for c in (x, y))
+
+    return not (a > 0 and inside(text[a - 1], text[a]) or b < len(text) and inside(text[b - 1], text[b]))
+
+
 def _scan(pieces: Pieces, texts: pa.Array, ids: list) -> list[tuple]:
     lowered = pc.utf8_lower(texts)
     data, offsets = W.column(pa.RecordBatch.from_arrays([lowered], ["text"]), "text")
@@ -172,6 +187,14 @@ def _scan(pieces: Pieces, texts: pa.Array, ids: list) -> list[tuple]:
         a, b = max(low, s - most), min(high, s + len(text) + most)
         if b - a < len(text) - most or (d, k) in out and not out[d, k][0]:
             continue
+        if not most:
+            if s < low or s + len(text) > high:
+                continue
+            a, b = max(low, s - 1), min(high, s + len(text) + 1)
+            window = normal_window(bytes(data[int(start[a]):int(start[b]) if b < len(start) else len(data)]))
+            if window[s - a:s - a + len(text)] == text and bordered(window, s - a, s - a + len(text)):
+                out[d, k] = 0, s - low
+            continue
         # Windows of one item that begin in one stretch of the budget share a look.
         stretch = (d, k, s // (most + 1))
         if stretch in tried:
