@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import staging_root
 from ..sources.tables import table
 from . import (bpe, chat, decontaminate, jaccard_join, pii, quality_model, quality_rules,
-               spelling, substring_dedup, token_store, toxicity)
+               spelling, substring_dedup, token_store, toxicity, whitening)
 
 #: The key of registered runs; a user passes a secret one.
 PII_KEY = "registered-query"
@@ -82,6 +82,10 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(table(spark, sf_dir, "documents"))
 
@@ -97,5 +101,6 @@ QUERIES = {
     "op8_bpe": bpe_query,
     "op9_chat_perspectives": chat_query,
     "op10_pii": pii_query,
+    "op12_whitening": whitening_query,
     "op13_spelling_variants": spelling_query,
 }
