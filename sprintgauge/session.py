@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -77,9 +79,31 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        writer.parquet(path)
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return df.sparkSession.read.schema(nullable).parquet(path)
+    out = df.sparkSession.read.schema(nullable).parquet(path)
+    out.staged_at = path
+    return out
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of the executions inside are removed as each of them ends."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete tables that :func:`stage` wrote and no plan reads any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def use_checkpoints(spark: SparkSession) -> None:
