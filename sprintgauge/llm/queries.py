@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import staging_root
 from ..sources.tables import table
-from . import (bpe, chat, decontaminate, jaccard_join, pii, quality_model, quality_rules,
+from . import (bpe, chat, decontaminate, jaccard_join, katz, pii, quality_model, quality_rules,
                spelling, substring_dedup, token_store, toxicity, whitening)
 
 #: The key of registered runs; a user passes a secret one.
@@ -82,6 +82,12 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def katz_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.learn_and_score(table(spark, sf_dir, "documents"), _fold(5) != 1)
+    return scored.select("doc_id", (_fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_bpe": bpe_query,
     "op9_chat_perspectives": chat_query,
     "op10_pii": pii_query,
+    "op11_katz_scores": katz_query,
     "op12_whitening": whitening_query,
     "op13_spelling_variants": spelling_query,
 }
