@@ -343,11 +343,16 @@ def score(docs: DataFrame, model: Model, train: Column | None = None) -> DataFra
     nothing = [F.lit(0.0).alias("base"), F.lit(0.0).alias("known")]
     for level, table in enumerate(model.grams, 2):
         for part in range(PARTS if level == model.order else 1):
+            made = None
             if level < model.order:
                 found = _requests(rows, model, level, None).join(table.select("key", "value"), "key")
             else:
-                found = _requests(rows, model, level, part).join(table(part), ["ctx", "low"])
+                # Written first: the optimiser would ask once for each branch of its union.
+                made = stage(table(part), "katz-part")
+                found = _requests(rows, model, level, part).join(made, ["ctx", "low"])
             sums.append(stage(found.groupBy("row").agg(F.sum("value").alias("value")).select("row", "value", *nothing), "katz-sums"))
+            if made is not None:
+                drop_stage(made)
     every = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("value", "base", "known")])
     # Equal rows of one id asked together: what they got is shared.
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
