@@ -53,18 +53,52 @@ _TOP = np.uint64(1 << 63)
 _SLICE = 4 << 20
 
 
+class Places:
+    """Where keys stand in a sorted list, by two direct tables; few keys are left to a search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.tables, left = [], np.arange(len(keys))
+        for shift in (np.uint64(11), np.uint64(37)):
+            table = np.zeros(int(self.mask) + 1, dtype=np.int32)
+            slot = (keys[left].view(np.uint64) >> shift & self.mask).astype(np.int64)
+            table[slot] = left
+            self.tables.append((shift, table))
+            left = left[table[slot] != left]
+        self.left, self.rest = left, keys[left]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, and which keys are there."""
+        at, found = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        if not len(self.keys):
+            return at, found
+        open_ = np.arange(len(key))
+        for shift, table in self.tables:
+            some = key[open_]
+            place = table[(some.view(np.uint64) >> shift & self.mask).astype(np.int64)]
+            hit = self.keys[place] == some
+            at[open_[hit]], found[open_[hit]] = place[hit], True
+            open_ = open_[~hit]
+        if len(self.rest):
+            place = np.minimum(np.searchsorted(self.rest, key[open_]), len(self.rest) - 1)
+            hit = self.rest[place] == key[open_]
+            at[open_[hit]], found[open_[hit]] = self.left[place[hit]], True
+        return at, found
+
+
 class Head(NamedTuple):
     """Sorted keys that every task has, and their numbers."""
 
     keys: np.ndarray
     values: np.ndarray
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each key is, and which keys are there."""
-        if not len(self.keys):
-            return np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return at, self.keys[at] == key
+
+class _KnownHead:
+    """A head in a task."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.find, self.values = Places(keys).find, values
 
     def sums(self, text: np.ndarray, key: np.ndarray, n_texts: int) -> np.ndarray:
         """Per text the sums of the numbers of its keys that are there."""
@@ -121,13 +155,11 @@ def _sequence(w: W.Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tokens, text, np.arange(len(tokens)) - (stops - sizes)[text]
 
 
-def _codes(tokens: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _codes(tokens: np.ndarray, codes: Places) -> np.ndarray:
     """Place among the frequent words, or the hash with its top bit set (negative as a long)."""
     tokens = tokens | _TOP
-    if not len(codes):
-        return tokens.view(np.int64)
-    at = np.minimum(np.searchsorted(codes, tokens), len(codes) - 1)
-    return np.where(codes[at] == tokens, at, tokens.view(np.int64))
+    at, found = codes.find(tokens)
+    return np.where(found, at, tokens.view(np.int64))
 
 
 def _pair(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -145,7 +177,7 @@ class _Grams(NamedTuple):
     key: np.ndarray
 
 
-def _level(w: W.Words, order: int, codes: np.ndarray, level: int, contexts: bool = False) -> _Grams:
+def _level(w: W.Words, order: int, codes: Places, level: int, contexts: bool = False) -> _Grams:
     """The grams of ``level`` tokens that end at each token, or also at the begin mark before the first."""
     tokens, text, place = _sequence(w, order)
     key = ctx = low = _codes(tokens, codes)
@@ -169,10 +201,11 @@ def _counted(rows: DataFrame, order: int, codes: np.ndarray, level: int, names:
     Occurrences are summed in each task before they are shuffled.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(codes)
         for batch in batches:
             seen = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             for begin, end, w in W.slices(batch, lower=True, size=_SLICE):
-                g = _level(w, order, codes, level)
+                g = _level(w, order, places, level)
                 key, at, back = np.unique(g.key, return_index=True, return_inverse=True)
                 n = np.bincount(back, minlength=len(key))
                 c = np.bincount(back[seen[begin:end][g.text]], minlength=len(key))
@@ -292,13 +325,13 @@ def _frequent_sums(rows: DataFrame, model: Model) -> DataFrame:
     order, codes = model.order, model.codes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Head(*h) for h in heads.value]
+        known, places = [_KnownHead(*h) for h in heads.value], Places(codes)
         for batch in batches:
             for begin, end, w in W.slices(batch, lower=True, size=_SLICE):
                 some, size = batch.slice(begin, end - begin), end - begin
                 total = np.zeros((size, 3))
                 for level, head in enumerate(known, 1):
-                    g = _level(w, order, codes, level, contexts=level < order)
+                    g = _level(w, order, places, level, contexts=level < order)
                     part = head.sums(g.text, g.key, size)
                     total[:, :part.shape[1]] += part
                 yield pa.RecordBatch.from_arrays(
@@ -319,11 +352,11 @@ def _requests(rows: DataFrame, model: Model, level: int, part: int | None) -> Da
     order, codes = model.order, model.codes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Head(keys.value, np.zeros((0, 0)))
+        known, places = Places(keys.value), Places(codes)
         for batch in batches:
             row = batch.column("row").to_numpy()
             for begin, _, w in W.slices(batch, lower=True, size=_SLICE):
-                g = _level(w, order, codes, level, contexts=level < order)
+                g = _level(w, order, places, level, contexts=level < order)
                 if part is not None:
                     g = _Grams(*[x[_part(g.ctx, g.low) == part] for x in g])
                 keep = ~known.find(g.key)[1]
