@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import drop_stage, stage
 from . import words as W
 
-ORDER, K, HEAD, PARTS = 2, 5, 1 << 20, 4
+ORDER, K, HEAD, PARTS = 2, 5, 1 << 20, 2
 _BEGIN, _END = np.uint64(0x42D4C957F2D5851F), np.uint64(0x7767814F14057B7E)
 _TOP = np.uint64(1 << 63)
 _SLICE = 4 << 20
