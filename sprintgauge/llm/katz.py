@@ -23,7 +23,7 @@ The model grows with the corpus: all grams are counted and kept, in tables parti
 by ``part``; texts are scored one part after the other, which bounds the disk a
 shuffle takes. Words that make up at least one in ``HEAD`` of all tokens (never more
 than ``HEAD`` of them) have small codes and travel to every task; so do the numbers of
-grams that are as frequent. No other gram can crowd a task.
+grams that are as frequent in training. No other gram that the model knows can crowd a task.
 
 Defined results: a null or empty text is one end mark; rows of equal id and text score
 alike, and rows of one id with different texts each get their own; a null id is scored
@@ -48,6 +48,8 @@ from ..session import drop_stage, stage
 from . import words as W
 
 ORDER, K, HEAD, PARTS = 2, 5, 1 << 20, 2
+#: Grams a task adds up or answers; there are as many tasks as tokens ask for.
+TASK_ROWS = 1 << 22
 _BEGIN, _END = np.uint64(0x42D4C957F2D5851F), np.uint64(0x7767814F14057B7E)
 _TOP = np.uint64(1 << 63)
 _SLICE = 4 << 20
@@ -212,8 +214,59 @@ def _counted(rows: DataFrame, order: int, codes: np.ndarray, level: int, names:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.astype(np.int64)) for x in (*[getattr(g, x)[at] for x in names], c, n)], [*names, "c", "n"])
 
-    made = rows.select("text", "train").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "c", "n"]))
-    return made.groupBy(*names).agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return rows.select("text", "train").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "c", "n"]))
+
+
+def _partitions(spark, tokens: int) -> int:
+    """So many that a task meets about ``TASK_ROWS`` grams at most: its share of all tokens."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TASK_ROWS))
+
+
+def _summed(made: DataFrame, names: list[str], partitions: int) -> DataFrame:
+    """``names`` with the sums of ``c``: grams are dealt out by name and added up on arrays."""
+    def whole(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts, axis=1)
+        _, at, back = np.unique(_pair(rows[-3], rows[-2]), return_index=True, return_inverse=True)
+        out = rows[:, at]
+        out[-1] = np.bincount(back, weights=rows[-1], minlength=len(at)).astype(np.int64)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = [np.zeros((len(names) + 1, 0), dtype=np.int64)], 0
+        for batch in batches:
+            parts.append(np.stack([batch.column(x).to_numpy() for x in [*names, "c"]]))
+            waiting += batch.num_rows
+            if waiting > TASK_ROWS // 2:
+                parts, waiting = [whole(parts)], 0
+        for begin in range(0, (out := whole(parts)).shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[:, begin:begin + (1 << 16)]], [*names, "c"])
+
+    dealt = made.select(*names, "c").repartition(partitions, "ctx", "low")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "c"]))
+
+
+def _answered(asked: DataFrame, table: DataFrame, partitions: int) -> DataFrame:
+    """``row, value``: sums of the numbers of the grams each row asks for, part by part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.zeros((2, 0), dtype=np.int64)]
+        numbers, known = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            ctx, low = (batch.column(x).to_numpy() for x in ("ctx", "low"))
+            given = batch.column("value").is_valid().to_numpy(zero_copy_only=False)
+            key = _pair(ctx, low)
+            known.append(key[given])
+            numbers.append(batch.column("value").filter(pa.array(given)).to_numpy())
+            parts.append(np.stack([key[~given], batch.column("row").filter(pa.array(~given)).to_numpy()]))
+        keys, values, (key, row) = np.concatenate(known), np.concatenate(numbers), np.concatenate(parts, axis=1)
+        order = np.argsort(keys)
+        at, found = Places(keys[order]).find(key)
+        rows, back = np.unique(row[found], return_inverse=True)
+        sums = np.bincount(back, weights=values[order][at[found]], minlength=len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], ["row", "value"])
+
+    both = asked.select("row", "ctx", "low", F.lit(None).cast("double").alias("value")).unionByName(
+        table.select(F.lit(None).cast("long").alias("row"), "ctx", "low", "value"))
+    return both.repartition(partitions, "ctx", "low").mapInArrow(run, "row long, value double")
 
 
 def _looked_up(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
@@ -241,7 +294,8 @@ def _head(rows: DataFrame, *values: str) -> Head:
 def fit(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> Model:
     """The model of the rows where ``train`` holds; frequencies of all rows say what is frequent."""
     rows, none = _rows(docs, train), np.zeros(0, dtype=np.uint64)
-    words = stage(_counted(rows, order, none, 1, ["key"]), "katz-words")
+    words = _counted(rows, order, none, 1, ["key"]).groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    words = stage(words, "katz-words")
     total = words.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, types, least = total.c or 0, total.v, (total.n or 0) / HEAD
     frequent = words.filter(F.col("n") >= least).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
@@ -261,22 +315,22 @@ def fit(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> Mod
     lowest = math.log10(0.5 / smooth)
     seen = F.col("c") > 0
     level = stage(shown.select(
-        "key", "n", F.when(seen, F.log10(_discounted(F.col("c"), d) / whole)).otherwise(unknown).alias("logp"),
+        "key", "c", F.when(seen, F.log10(_discounted(F.col("c"), d) / whole)).otherwise(unknown).alias("logp"),
         (F.log10((F.col("c") + 0.5) / smooth) - lowest).alias("base"), seen.cast("double").alias("known")), "katz-unigrams")
     drop_stage(words)
 
     numbered, grams, heads, staged = [], [], [], [level]
-    gain = level.select("key", "n", (F.col("logp") - unknown).alias("value"), "base", "known")
+    gain = level.select("key", "c", (F.col("logp") - unknown).alias("value"), "base", "known")
     for m in range(2, order + 1):
         last = m == order
-        table = _counted(rows, order, codes, m, ["ctx", "low"] if last else ["key", "ctx", "low"])
-        # Grams of other rows matter only where they are frequent.
-        table = table.filter((F.col("c") > 0) | (F.col("n") > least)).withColumn(
+        names = ["ctx", "low"] if last else ["key", "ctx", "low"]
+        table = _summed(_counted(rows.filter("train"), order, codes, m, names), names, _partitions(docs.sparkSession, tokens))
+        table = table.withColumn(
             "part", F.col("ctx").bitwiseXOR(F.col("low")).bitwiseAND(F.lit(PARTS - 1)).cast("int"))
         table = stage(table.sortWithinPartitions("part", "ctx", "low"), f"katz-grams-{m}", partition_by=["part"])
         d = discounts(_counts_of_counts(table))
         low = level.select("key", F.col("logp").alias("low_logp"))
-        contexts = _looked_up(table.filter("c > 0").select("ctx", "low", "c"), "low", low).groupBy("ctx").agg(
+        contexts = _looked_up(table.select("ctx", "low", "c"), "low", low).groupBy("ctx").agg(
             F.sum("c").alias("t"), F.sum(F.col("c") - _discounted(F.col("c"), d)).alias("lost"),
             F.sum(F.pow(F.lit(10.0), "low_logp")).alias("covered"))
         freed = F.col("lost") > 1e-9
@@ -295,23 +349,20 @@ def fit(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> Mod
         full = gain.join(contexts.select("key", "backoff"), "key", "full")
         fill = [F.coalesce(c, F.lit(0.0)).alias(c) for c in gain.columns if c in ("base", "known")]
         full = stage(full.select("key", (F.coalesce("value", F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))).alias("value"),
-                                 F.coalesce("n", F.lit(0)).alias("n"), *fill), f"katz-numbers-{m - 1}")
+                                 F.coalesce("c", F.lit(0)).alias("c"), *fill), f"katz-numbers-{m - 1}")
         columns = ["value"] + [c for c in ("base", "known") if c in full.columns]
-        often = full.filter("key >= 0") if m == 2 else full.filter(F.col("n") > least)
+        often = full.filter("key >= 0") if m == 2 else full.filter(F.col("c") > least)
         heads.append(_head(often.select("key", *columns), *columns))
         numbered.append(full)
         staged += [table, contexts]
         if last:
-            often = table.filter(F.col("n") > least)
-            found = numbers(often.filter("c > 0")).select("ctx", "low", "value")
-            unseen = often.filter("c = 0").select("ctx", "low", F.lit(0.0).alias("value"))
-            heads.append(_head(found.unionByName(unseen), "value"))
-            grams.append(lambda part, table=table, numbers=numbers: numbers(
-                table.filter((F.col("part") == part) & (F.col("c") > 0)).select("ctx", "low", "c")).select("ctx", "low", "value"))
+            heads.append(_head(numbers(table.filter(F.col("c") > least)).select("ctx", "low", "value"), "value"))
+            grams.append(lambda part, table=table, numbers=numbers, least=least: numbers(
+                table.filter((F.col("part") == part) & (F.col("c") <= least)).select("ctx", "low", "c")).select("ctx", "low", "value"))
         else:
-            level = stage(numbers(table.filter("c > 0")).select("key", "n", "logp", "value"), f"katz-level-{m}")
+            level = stage(numbers(table).select("key", "c", "logp", "value"), f"katz-level-{m}")
             staged.append(level)
-            gain = level.select("key", "n", "value")
+            gain = level.select("key", "c", "value")
     if order == 1:
         numbered.append(gain)
         heads.append(_head(gain.filter("key >= 0"), "value", "base", "known"))
@@ -372,20 +423,17 @@ def score(docs: DataFrame, model: Model, train: Column | None = None) -> DataFra
     own = stage(_frequent_sums(rows, model), "katz-frequent")
     found = _requests(rows, model, 1, None).join(
         model.unigrams.filter("key < 0").select("key", "value", "base", "known"), "key")
+    own_tokens = own.agg(F.sum("n_tokens")).first()[0] or 0
     sums = [stage(found.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("value", "base", "known")]), "katz-sums")]
     nothing = [F.lit(0.0).alias("base"), F.lit(0.0).alias("known")]
     for level, table in enumerate(model.grams, 2):
         for part in range(PARTS if level == model.order else 1):
-            made = None
             if level < model.order:
                 found = _requests(rows, model, level, None).join(table.select("key", "value"), "key")
             else:
-                # Written first: the optimiser would ask once for each branch of its union.
-                made = stage(table(part), "katz-part")
-                found = _requests(rows, model, level, part).join(made, ["ctx", "low"])
+                found = _answered(_requests(rows, model, level, part), table(part),
+                                  _partitions(docs.sparkSession, own_tokens))
             sums.append(stage(found.groupBy("row").agg(F.sum("value").alias("value")).select("row", "value", *nothing), "katz-sums"))
-            if made is not None:
-                drop_stage(made)
     every = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("value", "base", "known")])
     # Equal rows of one id asked together: what they got is shared.
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
