@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .byte_level import TwoAges, stand_ins
+from .words import ragged
 
 END_ID = 1
 CACHE_PIECES = 300_000
@@ -75,7 +77,8 @@ class PieceEncoder(TwoAges):
 
     def make(self, piece: str) -> bytes:
         word, tail = piece, b""
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+        # A capital that becomes a letter and a mark keeps the stop: they are one token's text.
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() and len(piece[-2].lower()) == 1:
             word, tail = piece[:-1], self._whole(piece[-1])
         plain = word.isalpha() and (word.isascii() or (max(word) < _LATIN_END and "İ" not in word))
         return (self._word(word) if plain else self._whole(word)) + tail
@@ -83,6 +86,24 @@ class PieceEncoder(TwoAges):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, one after the other with the end id behind each, and their numbers.
+
+        Each different piece of the texts is looked up once; the rest is done on arrays.
+        """
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        found = [self[p] for p in coded.dictionary.to_pylist()]
+        size = np.array([len(f) // 4 for f in found], dtype=np.int64)
+        start = np.cumsum(size) - size
+        ids = np.append(np.frombuffer(b"".join(found), dtype="<i4"), np.int32(END_ID))
+        # One more piece per text: the end id.
+        piece = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:] - offsets[0], len(found))
+        size, start = np.append(size, 1), np.append(start, len(ids) - 1)
+        ends = np.cumsum(size[piece])[offsets[1:] - offsets[0] + np.arange(len(texts))]
+        return ids[ragged(start[piece], size[piece])], np.diff(ends, prepend=0)
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -105,18 +126,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
     schema = "part int, doc_id long, place long, n_tokens long, ids array<int>"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = _encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        encode, part, place = _encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):  # bounds what is held at a time
                 some = batch.slice(begin, 512)
-                ids = [encode(t) + end for t in some.column("text").to_pylist()]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                flat, sizes = encode(some.column("text"))
                 ends = np.cumsum(sizes)
-                flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(ids), part, dtype=np.int32)), some.column("doc_id"),
+                    pa.array(np.full(len(sizes), part, dtype=np.int32)), some.column("doc_id"),
                     pa.array(place + ends - sizes), pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ], ["part", "doc_id", "place", "n_tokens", "ids"])
