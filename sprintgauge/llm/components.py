@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
+from ..session import drop_stage, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        links = _small_star(_large_star(links).filter("a <> b").distinct()).filter("a <> b").distinct()
-        links = stage(links, "links")
+        old = links
+        links = stage(_small_star(_large_star(old).filter("a <> b").distinct()).filter("a <> b").distinct(), "links")
+        drop_stage(old)
     roots = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return roots.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import drop_stage, stage
 from . import words as W
 from .components import components
 
@@ -222,7 +222,9 @@ def _shared(index: DataFrame, name: str) -> DataFrame:
     The index itself is computed twice and never written: most of its keys are alone.
     """
     counts = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{name}-counts")
-    return stage(index.join(counts, "key"), name)
+    out = stage(index.join(counts, "key"), name)
+    drop_stage(counts)
+    return out
 
 
 def _pairs_of_short_lists(shared: DataFrame) -> DataFrame:
@@ -346,7 +348,10 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     key = ["n_shingles", "d1", "d2"]
     reps = filled.join(same, key).filter("doc_id = rep").select("doc_id", "n_shingles", "prefix", "sketch", "d1", "d2")
     reps = stage(reps.dropDuplicates(["doc_id", *key]).drop("d1", "d2"), "jaccard-representatives")
-    copies = filled.join(same, key).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    copies = stage(filled.join(same, key).filter("doc_id <> rep").select(
+        F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-copies")
+    whole, rows = rows, stage(rows.select("doc_id", "n_shingles"), "jaccard-sizes")
+    drop_stage(whole, same)
 
     shared = _shared(_keys(reps, like), "jaccard-index")
     crowded = shared.filter(F.col("n") > RARE).groupBy("doc").agg(F.count(F.lit(1)).alias("crowd"))
@@ -361,6 +366,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         .groupBy("doc").agg(F.max("crowded").alias("crowded")), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stage(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "crowded"), "jaccard-texts")
+    drop_stage(shared, facts, wanted)
 
     combos = _shared(_combinations(texts.filter("crowded"), like), "jaccard-combinations")
     hot = stage(_rarest(combos.filter(F.col("n") > RARE)), "jaccard-crowded")
@@ -368,11 +374,15 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     leaders = F.array_distinct(F.array(*[F.min_by("doc", F.xxhash64(F.lit(i), "doc")) for i in range(LEADERS)]))
     hot_counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leaders.alias("leaders")).filter("n > 1")
     hot_counts = stage(hot_counts, "jaccard-crowded-counts")
+    short = pairs
     pairs = pairs.unionByName(_pairs_of_short_lists(combos).select("a", "b"))
     pairs = pairs.unionByName(_pairs_of_short_lists(hot.join(hot_counts.select("key", "n"), "key")).select("a", "b"))
     pairs = stage(_candidates(pairs.distinct(), reps, like), "jaccard-candidates")
+    drop_stage(short, combos)
     large = hot_counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leaders")
+    crowd = hot
     hot = stage(hot.join(large, F.col("key") == F.col("k")).select("key", "doc", "leaders"), "jaccard-large")
+    drop_stage(crowd, hot_counts)
     star = hot.select("doc", F.explode("leaders").alias("leader")).filter("doc <> leader").select(
         F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     star = stage(_verified(_candidates(star, reps, like), texts, like), "jaccard-stars")
@@ -387,7 +397,9 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     rest = stage(_alike(_verified(_same(rest, comps), texts, like), like), "jaccard-rest")
     # Components of components: the first ones are stars around their least id.
     first = comps.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    comps = stage(components(first.unionByName(rest)), "jaccard-components")
+    last = stage(components(first.unionByName(rest)), "jaccard-components")
+    drop_stage(reps, texts, hot, star, pairs, nearest, rest, copies, comps)
+    comps = last
     return rows.join(comps, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -400,5 +412,15 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """
     rows = classes(docs, like).groupBy("doc_id").agg(
         F.max("n_shingles").alias("n"), F.min("component_id").alias("component"))
-    gone = rows.filter("doc_id IS NOT NULL AND n > 0 AND component <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = rows.filter("doc_id IS NOT NULL AND n > 0 AND component <> doc_id").select(F.col("doc_id").alias("gone"))
+    return without(docs, gone)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows of an id in the one column of ``gone``.
+
+    The row travels as one struct: no name of its columns can clash with ours.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone.toDF("gone"), F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
