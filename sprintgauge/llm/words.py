@@ -2,8 +2,9 @@
 
 A word is a run of characters other than space and the ASCII controls 9 to 13.
 In UTF-8 those bytes occur only as themselves, so words are found on bytes, and a
-word's 64-bit hash comes from one running sum over the bytes: no Python object is
-made per word. Texts are taken in slices of about ``SLICE_BYTES`` (a longer text
+word's 64-bit hash is a sum of pseudo-random numbers, one per byte and place: no Python
+object is made per word. Hashes of word sequences mix word hashes step by step, so no
+pair of different sequences collides by its structure. Texts are taken in slices of about ``SLICE_BYTES`` (a longer text
 is a slice of its own), which bounds the memory of a task.
 """
 
@@ -16,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
+_FAR, _NEXT, _SIZE = _U64(0x9E3779B97F4A7C15), _U64(0xD1B54A32D192ED03), _U64(0x8CB92BA72F3D8DD7)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Also parts words at ASCII punctuation and digits.
 LETTERS_ONLY = _SPACE.copy()
 LETTERS_ONLY[[b for b in range(33, 127) if not chr(b).isalpha()]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Places in a word whose numbers come from a table.
+_PLACES = 64
+_TABLE = np.random.default_rng(20240229).integers(0, (1 << 64) - 1, _PLACES * 256, dtype=np.uint64, endpoint=True)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -47,20 +50,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-_POWERS: list[np.ndarray] = []
+def _byte_numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each byte at its place in a word."""
+    near = np.minimum(place, _PLACES - 1)
+    out = _TABLE[near * 256 + byte]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix(mix(place[far].astype(np.uint64) + _FAR) + byte[far].astype(np.uint64))
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = []
-        for base in (_BASE, inverse):
-            run = np.full(size, base, dtype=np.uint64)
-            run[0] = 1
-            _POWERS.append(np.multiply.accumulate(run))
-    return _POWERS[0], _POWERS[1]
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values``, modulo 2**64."""
+    run = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=run[1:])
+    stop = np.cumsum(sizes)
+    return run[stop] - run[stop - sizes]
 
 
 def find(data: np.ndarray, offsets: np.ndarray, lower: bool = False,
@@ -86,10 +91,10 @@ def find(data: np.ndarray, offsets: np.ndarray, lower: bool = False,
     closes[:-1] &= ~inside[1:] | edge[1:n]
     start = np.flatnonzero(opens)
     stop = np.flatnonzero(closes) + 1
-    powers, inverses = _powers(n + 1)
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers[:n], out=run[1:])
-    hashes = mix((run[stop] - run[start]) * inverses[start])
+    sizes = stop - start
+    stops = np.cumsum(sizes)
+    place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - sizes, sizes)
+    hashes = mix(_sums(_byte_numbers(place, data[inside]), sizes))
     return Words(hashes, start, stop, np.searchsorted(start, offsets), data)
 
 
@@ -119,33 +124,40 @@ def slices(batch: pa.RecordBatch, text: str = "text", lower: bool = False,
         begin = end
 
 
+def _followed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    return mix(mix(first + _NEXT) + then)
+
+
 def windows(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of ``length`` words, and which windows lie in one text.
 
     Window ``i`` begins at word ``i`` of all words; a window over the end of its
-    text, or of all texts, is marked False.
+    text, or of all texts, is marked False. Hashes of 1, 2, 4 .. words are put together.
     """
     n = len(words.hashes)
     if n < length:
         return np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
-    powers, inverses = _powers(n + 1)
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words.hashes * powers[:n], out=run[1:])
+    block, reach, made, done = words.hashes, 1, None, 0
+    while True:
+        if length & reach:
+            made = block if made is None else _followed(made[:n - done - reach + 1], block[done:])
+            done += reach
+        if 2 * reach > length:
+            break
+        block, reach = _followed(block[:-reach], block[reach:]), 2 * reach
     hashes = np.zeros(n, dtype=np.uint64)
-    size = n - length + 1
-    hashes[:size] = mix((run[length:] - run[:size]) * inverses[:size])
+    hashes[:n - length + 1] = made
     last = np.repeat(words.first[1:], np.diff(words.first))
     return hashes, np.arange(n) + length <= last
 
 
 def stems(words: Words, size: int) -> np.ndarray:
     """Hash of the first ``size`` bytes of each word."""
-    n = len(words.data)
-    powers, inverses = _powers(n + 1)
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[words.data] * powers[:n], out=run[1:])
-    stop = np.minimum(words.start + size, words.stop)
-    return mix((run[stop] - run[words.start]) * inverses[words.start])
+    total = np.zeros(len(words.start), dtype=np.uint64)
+    for place in range(size):
+        here = np.flatnonzero(words.start + place < words.stop)
+        total[here] += _byte_numbers(np.full(len(here), place), words.data[words.start[here] + place])
+    return mix(total)
 
 
 def texts_of(words: Words) -> np.ndarray:
@@ -163,9 +175,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def wholes(words: Words) -> np.ndarray:
     """Hash of all words of each text in order; texts of equal words have equal hashes."""
-    n = len(words.hashes)
-    powers, inverses = _powers(n + 1)
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words.hashes * powers[:n], out=run[1:])
-    first, last = words.first[:-1], words.first[1:]
-    return mix((run[last] - run[first]) * inverses[np.minimum(first, n)] + mix((last - first).astype(np.uint64)))
+    sizes = np.diff(words.first)
+    salts = mix(np.arange(int(sizes.max(initial=0)), dtype=np.uint64) + _SIZE)
+    place = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], sizes)
+    return mix(_sums(mix(words.hashes ^ salts[place]), sizes) + mix(sizes.astype(np.uint64)))
