@@ -26,7 +26,7 @@ ROUNDS = 8
 DATE_HALVES = (270, 271)
 DATE_WALK = 12
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _KEY = r"\bAKIA[0-9A-Z]{16}\b"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 _PHONE = r"(?<![0-9.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
@@ -295,22 +295,25 @@ def pseudonym(value: Column, key: str) -> Column:
     return _let(kind(value), of)
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
-    """``docs`` with ``text_col`` pseudonymised, and how many values were replaced.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text",
+                 count_col: str | None = "n_pseudonyms") -> DataFrame:
+    """``docs`` with ``text_col`` pseudonymised, and in ``count_col`` how many values were replaced.
+
+    A column of that name must not be there already; None leaves the count out.
 
     Texts without a digit or @ are passed on after one cheap look. Pieces between
     candidates and their replacements are joined in order, so a pseudonym is never
     taken for a value again.
     """
+    if count_col in docs.columns:
+        raise ValueError(f"a column {count_col} is there already: name another count_col")
     text = F.col(text_col)
-
     made = F.when(text.rlike("[0-9@]"), _replaced(text, PATTERN, lambda m: pseudonym(m, key)))
     # The row travels as one struct: no name of its columns can clash with ours.
     made = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         made.alias("made"))
     text = F.coalesce("made.text", F.col(f"row.`{text_col}`"))
-    kept = [c for c in docs.columns if c != count_col]
+    count = [] if count_col is None else [F.coalesce("made.n", F.lit(0)).cast("long").alias(count_col)]
     return made.select(
-        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept],
-        F.coalesce("made.n", F.lit(0)).cast("long").alias(count_col))
+        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *count)
