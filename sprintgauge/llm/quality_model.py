@@ -188,7 +188,7 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     rows = stage(statistics(docs), "quality-statistics")
     known = labels.filter(F.col("label").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     # Rows go by id, so that the fit does not depend on how tasks were packed.
-    sample = bounded(rows.join(known, "doc_id"), sample_rows).orderBy("doc_id", "label", "x").toArrow()
+    sample = bounded(rows.join(known, "doc_id"), sample_rows, ["doc_id", "label", "x"]).orderBy("doc_id", "label", "x").toArrow()
     y = sample.column("label").to_numpy().astype(float)
     x = np.array(sample.column("x").to_pylist(), dtype=np.float32).reshape(len(y), len(STATISTICS))
     return score(rows, fit(x, y))

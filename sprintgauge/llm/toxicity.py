@@ -4,7 +4,7 @@ Features of a text are the set of its words, their stems (first ``STEM`` bytes),
 neighbouring pairs and pairs with one word between, lower-cased and without
 punctuation, hashed to ``DIMENSIONS`` places.
 FTRL-proximal keeps a rate per coordinate and an L1 threshold, so most weights are
-exactly zero. Shards of a bounded sample of labelled rows are fitted side by side,
+exactly zero. Shards of a bounded sample of labelled documents (equal rows once) are fitted side by side,
 each by one task in passes over its rows, and their weights are averaged per
 coordinate. The non-zero weights, never more than ``DIMENSIONS``, go to all tasks.
 
@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
 from . import words as W
 from .sampling import bounded
 
@@ -83,21 +84,36 @@ def _examples(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``place, weight`` of the coordinates that count; place -1 is the intercept."""
-    known = bounded(labels.filter(F.col("label").isNotNull()).select(
-        "doc_id", F.col("label").cast("double").alias("label")), sample_rows)
-    shards = max(1, -(-known.count() // SHARD_ROWS))
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.join(known, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    known = labels.filter(F.col("label").isNotNull()).select("doc_id", F.col("label").cast("double").alias("label"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
+    # Sampled after the join: labels of other documents must not use up the bound.
+    rows = bounded(texts.join(known, "doc_id"), sample_rows, ["doc_id", "label", "tie"])
+
+    def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _examples(batch)
+            places = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("tie"), batch.column("label"),
+                 pa.ListArray.from_arrays(pa.array(places), pa.array(flat.astype(np.int32)))], ["doc_id", "tie", "label", "at"])
+
+    examples = stage(rows.select("doc_id", "tie", "label", "text").mapInArrow(
+        coordinates, "doc_id long, tie long, label double, at array<int>"), "toxicity-examples")
+    shards = max(1, -(-examples.count() // SHARD_ROWS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "label", "text"], ignore_index=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
-        weight, bias = fit_shard(_examples(batch), pdf["label"].to_numpy())
+        pdf = pdf.sort_values(["doc_id", "label", "tie"], ignore_index=True)
+        weight, bias = fit_shard([np.asarray(a, dtype=np.int64) for a in pdf["at"]], pdf["label"].to_numpy())
         place = np.flatnonzero(weight)
         return pd.DataFrame({"place": np.append(place, -1), "weight": np.append(weight[place], bias)})
 
-    parts = rows.groupBy("shard").applyInPandas(run, "place long, weight double")
-    return parts.groupBy("place").agg((F.sum("weight") / F.lit(shards)).alias("weight"))
+    parts = examples.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)))
+    parts = stage(parts.groupBy("shard").applyInPandas(run, "place long, weight double"), "toxicity-shards")
+    # Shards without rows are none: each that was fitted has one intercept.
+    fitted = max(1, parts.filter("place = -1").count())
+    return parts.groupBy("place").agg((F.sum("weight") / F.lit(fitted)).alias("weight"))
 
 
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
