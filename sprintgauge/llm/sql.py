@@ -55,16 +55,18 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, s.b F
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.node = d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id)""",
     "op9_chat_perspectives": r"""WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS rank,
-         regexp_replace(coalesce(role, 'unknown'), '[\n ]', '_', 'g') AS role,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
+                                     coalesce(text, '')) - 1 AS rank,
+         replace(replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), '<|im_', '<\|im_'),
+                         ' ', '\s'), chr(10), '\n') AS role,
          replace(replace(coalesce(text, ''), '<|im_', '<\|im_'), chr(13) || chr(10), chr(10)) AS text
   FROM conversations),
 c AS (SELECT conv_id, rank // 64 AS chunk, rank, role, text FROM t),
-p AS (SELECT DISTINCT conv_id, chunk, role AS speaker FROM c WHERE role <> 'system'),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
 x AS (SELECT c.conv_id, c.chunk, speaker, rank, role, text,
              '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
                                     ELSE 'user name=' || role END || chr(10) AS head
-      FROM c JOIN p ON c.conv_id = p.conv_id AND c.chunk = p.chunk),
+      FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
 y AS (SELECT *, sum(length(head) + length(text) + 11)
                 OVER (PARTITION BY conv_id, chunk, speaker ORDER BY rank) - length(text) - 11 AS pos FROM x)
 SELECT conv_id, chunk, speaker, count(*) AS n_turns,
