@@ -30,17 +30,15 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in which no benchmark item was found; rows with a null id stay."""
     ship_package(spark)
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    found = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__leak"), "left_anti")
+    return jaccard_join.without(docs, found.filter("doc_id IS NOT NULL").select("doc_id").distinct())
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format; ``n_chars`` follows."""
-    columns = docs.columns
-    out = pii.pseudonymise(docs, PII_KEY, count_col="__pseudonyms")
-    if "n_chars" in columns:
+    out = pii.pseudonymise(docs, PII_KEY, count_col=None)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
