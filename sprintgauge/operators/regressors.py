@@ -192,11 +192,26 @@ def random_trials(name: str, count: int = TRIALS, seed: int = lexicon.SEED) -> l
 
 def tune(name: str, train: DataFrame, validation: DataFrame, trials: list[dict],
          threads: int = 2) -> list[tuple[int, str, float]]:
-    """``(trial, settings, validation MAE)`` of each trial, fitted side by side."""
+    """``(trial, settings, validation MAE)`` of each trial, fitted side by side.
+
+    Trials are groups of one job where a task can hold the rows, else MLlib fits.
+    """
+    from . import group_models
+
+    role = lambda rows, is_: rows.withColumns({"role": F.lit(is_), "split": F.lit(1)})
+    rows = role(train, "train").unionByName(role(validation, "test"))
+    numbered = list(enumerate(trials, 1))
+    if not group_models.oversized(rows, ["split"]):
+        jobs = [(str(number), name, repr(settings)) for number, settings in numbered]
+        errors = group_models.predict(rows, ["split"], jobs).groupBy("model").agg(
+            F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae")).collect()  # one row per trial
+        found = {row.model: row.mae for row in errors}
+        return [(number, str(settings), float(found[str(number)])) for number, settings in numbered]
+
     def run(job):
         number, settings = job
         scored = fit(name, train, **settings).transform(validation)
         error = scored.agg(F.avg(F.abs(F.col(LABEL) - F.col("prediction")))).first()[0]
         return number, str(settings), float(error)
 
-    return in_parallel(list(enumerate(trials, 1)), run, threads)
+    return in_parallel(numbered, run, threads)

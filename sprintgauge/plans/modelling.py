@@ -12,7 +12,7 @@ from ..operators import features, regressors as r, scoring, splits, stages
 from ..session import stage, staging_root, use_checkpoints
 from ..sources import sinks
 from ..sources.tables import table
-from . import base, evaluation as ev, experiments, oracles as o
+from . import base, ensemble, evaluation as ev, experiments, oracles as o
 
 KEYS = ["dataset_name", "issuekey", "row_ord"]
 #: The families whose settings the study searches.
@@ -66,11 +66,9 @@ def _fit_fourier(s, d):
 
 def _fit_stacking(s, d):
     train, test = _parts(s, d)
-    folded = splits.fold_join(train, splits.kfold_assign(train.select(*KEYS)))
-    folded = base.staged_once(s, d, "stacking_rows", lambda: folded)
-    predict = r.fit_stacking(folded, stage=lambda df: stage(df, "level_two"))
-    return predict(test).select(*KEYS, F.col("storypoint").alias("y"),
-                                F.lit("stacking").alias("model"), "prediction")
+    role = lambda rows, name: rows.withColumn("role", F.lit(name))
+    rows = role(train, "train").unionByName(role(test, "test"))
+    return experiments._evaluate([({"split": 1}, rows)], ("stacking",), "stacking", 1).drop("split")
 
 
 def _tune(s, d):
@@ -86,29 +84,17 @@ def _refit(s, d):
     rows = base.corpus(s, d).select(*KEYS, "storypoint", tokenize(F.col("text")).alias("tokens"))
     roles = splits.four_way_roles(rows)
     held = stage(splits.role_rows(rows, roles), "cycle_rows")
-    cycles = [row.cycle for row in roles.select("cycle").distinct().collect()]
-
-    def run(cycle):
-        part = held.filter(F.col("cycle") == cycle)
-        scores = []
-        for fitted_on, tested_on in ((["train"], "validation"),
-                                     (["train", "validation"], "test")):
-            train = part.filter(F.col("role").isin(fitted_on))
-            vectorizer = features.fit_vectorizer(train)
-            train = stage(features.vectorize(vectorizer, train), "refit_train")
-            test = stage(features.vectorize(
-                vectorizer, part.filter(F.col("role") == tested_on)), "refit_test")
-            for model in experiments.MODELS:
-                predictions = experiments.fit_predict(model, train, test).withColumns(
-                    {"cycle": F.lit(cycle), "scored_on": F.lit(tested_on)})
-                scores.append(stage(predictions, "refit_predictions"))
-        return experiments._together(scores)
-
-    parts = r.in_parallel(sorted(cycles), run)
-    merged = parts[0]
-    for more in parts[1:]:
-        merged = merged.unionByName(more)
-    return scoring.score(merged, ["cycle", "scored_on", "model"], digits=6)
+    cycles = sorted(row.cycle for row in roles.select("cycle").distinct().collect())
+
+    def run(job):
+        cycle, fitted_on, tested_on = job
+        part = held.filter(F.col("cycle") == cycle).drop("cycle")
+        return {"cycle": cycle, "scored_on": tested_on}, experiments.vectors_of(part, fitted_on, tested_on, "refit")
+
+    parts = r.in_parallel([(cycle, *step) for cycle in cycles for step in (
+        (["train"], "validation"), (["train", "validation"], "test"))], run)
+    made = experiments._evaluate(parts, experiments.MODELS, "refit", 4)
+    return scoring.score(made, ["cycle", "scored_on", "model"], digits=6)
 
 
 def _tfidf_vectors(s, d):
@@ -175,7 +161,23 @@ def _evaluate_intra(s, d):
     return s.read.parquet(path).drop("executed_at")
 
 
+def _evaluate_ensemble(s, d):
+    """Tuned and refitted models over every fold of every project."""
+    path = _fresh(s, "ensemble")
+    ensemble.run_folds(base.curated(s, d), path, f"{path}-trials", f"{path}-folds", ev.VERSION)
+    return s.read.parquet(path).drop("executed_at")
+
+
+def _evaluate_cyclic(s, d):
+    """Tuned and refitted models over every four-way cycle of projects."""
+    path = _fresh(s, "cyclic")
+    ensemble.run_cycles(base.curated(s, d), path, f"{path}-trials", ev.VERSION)
+    return s.read.parquet(path).drop("executed_at")
+
+
 QUERIES = {
+    "evaluate_ensemble": _evaluate_ensemble,
+    "evaluate_cyclic": _evaluate_cyclic,
     "evaluate_inter": _evaluate_inter,
     "evaluate_intra": _evaluate_intra,
     "tfidf_vectors": _tfidf_vectors,

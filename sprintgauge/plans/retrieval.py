@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import answers, lexicon
-from ..operators import features, language_model as lm, neighbours, prompting, splits
+from ..functions import answers, lexicon, metrics
+from ..operators import features, language_model as lm, neighbours, prompting, scoring, splits
+from ..session import staging_root
+from ..sources import sinks
 from ..sources.tables import requirements, table
 from . import base, oracles as o
 
@@ -54,6 +58,23 @@ def _neighbour_answers(s, d):
         prompting.neighbour_answers(retrievable(s, d), retrieved(s, d)))
 
 
+def retrieval_run(rows, store, model, make_model, neighbours_of, **options):
+    """Corpus, vectors, neighbours, prompts, answers, points: each row with its answer by ``model``."""
+    prompts = prompting.few_shot_prompts(rows, neighbours_of(rows)).join(
+        rows.select("row_id", F.col("storypoint").alias("actual")), "row_id")
+    answered = prompting.answer_missing(prompts, store, model, make_model, **options)
+    return prompting.parse_answers(answered).withColumn("model", F.lit(model))
+
+
+def _retrieval_run(s, d):
+    """Mean absolute error per model over all curated rows, answered through the store."""
+    store = sinks.store_path(staging_root(s), f"answers-{uuid.uuid4().hex}")
+    made = retrieval_run(retrievable(s, d), store, "median_of_examples", prompting.median_of_examples,
+                         lambda rows: retrieved(s, d))
+    valid = scoring.valid_predictions(made).withColumnsRenamed({"actual": "y", "predicted": "prediction"})
+    return valid.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.round(metrics.mae(F.col("y"), F.col("prediction")), 6).alias("mae"))
+
+
 def generated_answers(s, d):
     """Answers in the shapes models give, one per requirement."""
     shapes = ["5", " 5 ", "five", "", "5d", "1_000", "a###b### 5", "8.0", "4", "-3"]
@@ -111,9 +132,9 @@ QUERIES = {
         answers.role_prompt(x), lexicon.FEW_SHOT_BUDGET)),
     "prompt_few_shot": _few_shot,
     "answer_by_neighbours": _neighbour_answers,
+    "retrieval_run": _retrieval_run,
     "parse_answer": lambda s, d: prompting.parse_answers(generated_answers(s, d)),
-    "valid_predictions": lambda s, d: prompting.parse_answers(generated_answers(s, d)).dropna(
-        subset=["predicted", "actual"]),
+    "valid_predictions": lambda s, d: scoring.valid_predictions(prompting.parse_answers(generated_answers(s, d))),
     "answer_in_scale": lambda s, d: prompting.parse_answers(generated_answers(s, d)).select(
         "dataset_name", "row_ord", answers.in_scale(F.col("predicted")).alias("in_scale")),
     "encode_tokens": lambda s, d: encoded(s, d).select(
@@ -138,17 +159,26 @@ _LAST = ("regexp_replace(list_extract(string_split(generated, '###'), -1),"
          " '^[\\t-\\r\\x1c-\\x20]+|[\\t-\\r\\x1c-\\x20]+$', '', 'g')")
 _PARSED = (f"SELECT *, CASE WHEN regexp_matches({_LAST}, '^[+-]?[0-9]+(\\.[0-9]*)?$')"
            f" THEN CAST({_LAST} AS DOUBLE) END AS predicted FROM ({_ANSWERS})")
-_RETRIEVED = """retrievable AS MATERIALIZED (SELECT row_ord AS row_id, description, storypoint, embedding
-  FROM capped JOIN embeddings ON vec_id = row_ord),
+_RETRIEVED = f"""retrievable AS MATERIALIZED (SELECT row_ord AS row_id, description, storypoint FROM capped),
+used AS MATERIALIZED (SELECT row_id, term, count(*) AS tf FROM (
+    SELECT row_id, unnest({o.tokens('description')}) AS term FROM retrievable) GROUP BY ALL),
+rarity AS (SELECT term, ln((1 + (SELECT count(*) FROM retrievable)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf
+  FROM used GROUP BY term),
+weighed AS MATERIALIZED (SELECT row_id, term,
+    tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY row_id)) AS w FROM used JOIN rarity USING (term)),
+common AS MATERIALIZED (SELECT a.row_id AS query_id, b.row_id AS neighbour_id, sum(a.w * b.w) AS dot
+  FROM weighed a JOIN weighed b ON a.term = b.term AND a.row_id <> b.row_id GROUP BY ALL),
+lengths AS (SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM used) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+  FROM retrievable),
 retrieved AS MATERIALIZED (SELECT q.row_id AS query_id, c.row_id AS neighbour_id, row_number() OVER
-    (PARTITION BY q.row_id ORDER BY round(list_distance(q.embedding::DOUBLE[],
-      c.embedding::DOUBLE[]) ** 2, 9), c.row_id) AS rank
-  FROM retrievable q JOIN retrievable c ON q.row_id <> c.row_id QUALIFY rank <= 3)"""
+    (PARTITION BY q.row_id ORDER BY round(q.length + c.length - 2 * coalesce(dot, 0), 9), c.row_id) AS rank
+  FROM lengths q JOIN lengths c ON q.row_id <> c.row_id
+    LEFT JOIN common ON query_id = q.row_id AND neighbour_id = c.row_id QUALIFY rank <= 3)"""
 _LM_TOKENS = "regexp_extract_all(lower(treated_description_bert), '[a-z0-9_]+')"
 
 o.BLOCKS.update({
     "words": (["curated"], f"""SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) + 4 AS id
-FROM (SELECT unnest({_LM_TOKENS}) AS term FROM curated) GROUP BY term QUALIFY id <= 30004"""),
+FROM (SELECT unnest({_LM_TOKENS}) AS term FROM curated) GROUP BY term"""),
     "encoded": (["words"], f"""SELECT dataset_name, row_ord,
   list_concat(list_concat([2], coalesce(ids, [])), [3]) AS ids FROM curated LEFT JOIN (
   SELECT dataset_name, row_ord, list(coalesce(id, 1) ORDER BY pos) AS ids FROM (
@@ -193,6 +223,12 @@ SELECT q.row_id, '###' || chr(10) || CAST(median(c.storypoint) AS VARCHAR) AS ge
   any_value(q.storypoint) AS actual, median(c.storypoint) AS predicted
 FROM retrieved JOIN retrievable q ON q.row_id = query_id
   JOIN retrievable c ON c.row_id = neighbour_id GROUP BY q.row_id""",
+    "retrieval_run": o.with_blocks(["capped"], "").rstrip() + f""",
+{_RETRIEVED}
+SELECT 'median_of_examples' AS model, count(*) AS n_rows, round(avg(abs(actual - predicted)), 6) AS mae FROM (
+  SELECT any_value(q.storypoint) AS actual, median(c.storypoint) AS predicted
+  FROM retrieved JOIN retrievable q ON q.row_id = query_id
+    JOIN retrievable c ON c.row_id = neighbour_id GROUP BY q.row_id)""",
     "parse_answer": o.with_blocks(["requirements"], _PARSED),
     "valid_predictions": o.with_blocks(
         ["requirements"],
