@@ -21,6 +21,8 @@ BLOCK_ROWS = 8192
 _STEP = 512
 _PAIRS = 65536
 _DIGITS = 9
+#: Pairs of entries from which a term's two lists are multiplied as columns of a matrix.
+_LONG = 64
 
 
 def _best(approx: np.ndarray, exact: Callable, ids: np.ndarray, k: int, slack: float):
@@ -71,35 +73,57 @@ def _dense_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, exclud
     return _collect(parts, k)
 
 
-def _densify(frame: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
-    """Rows as a small dense matrix over the terms in ``columns``."""
-    lengths = frame["idx"].map(len).to_numpy()
-    out = np.zeros((len(frame), len(columns)))
-    if lengths.sum():
-        at = np.repeat(np.arange(len(frame)), lengths)
-        terms = np.concatenate(frame["idx"].to_numpy())
-        values = np.concatenate(frame["val"].to_numpy())
-        spot = np.searchsorted(columns, terms)
-        known = (spot < len(columns)) & (columns[np.minimum(spot, len(columns) - 1)] == terms)
-        out[at[known], spot[known]] = values[known]
-    return out
+class _Postings:
+    """Entries of some sparse rows, sorted by term; the lists of its terms are slices."""
+
+    def __init__(self, frame: pd.DataFrame):
+        lengths = frame["idx"].map(len).to_numpy().astype(np.int64)
+        self.rows, filled = len(frame), lengths.sum() > 0
+        self.lengths = (lengths > 0).astype(np.float64)
+        terms = np.concatenate(frame["idx"].to_numpy()) if filled else np.zeros(0, dtype=np.int64)
+        values = np.concatenate(frame["val"].to_numpy()) if filled else np.zeros(0)
+        order = np.argsort(terms, kind="stable")
+        self.row = np.repeat(np.arange(len(frame)), lengths)[order]
+        self.value = values[order]
+        self.terms, self.start, self.count = np.unique(terms[order], return_index=True, return_counts=True)
+
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        """Rows as a dense matrix over some of the terms."""
+        out = np.zeros((self.rows, len(which)))
+        at = _runs(self.start[which], self.count[which])
+        out[self.row[at], np.repeat(np.arange(len(which)), self.count[which])] = self.value[at]
+        return out
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _dots(q: _Postings, c: _Postings) -> np.ndarray:
+    """All dot products. Terms with long lists on both sides are multiplied as a matrix;
+    the many others meet list by list."""
+    _, of_q, of_c = np.intersect1d(q.terms, c.terms, assume_unique=True, return_indices=True)
+    long = q.count[of_q] * c.count[of_c] > _LONG
+    out = q.dense(of_q[long]) @ c.dense(of_c[long]).T
+    of_q, of_c = of_q[~long], of_c[~long]
+    left = _runs(q.start[of_q], q.count[of_q])
+    starts, sizes = np.repeat(c.start[of_c], q.count[of_q]), np.repeat(c.count[of_c], q.count[of_q])
+    right, left = _runs(starts, sizes), np.repeat(left, sizes)
+    cells = q.row[left] * c.rows + c.row[right]
+    return out + np.bincount(cells, weights=q.value[left] * c.value[right], minlength=out.size).reshape(out.shape)
 
 
 def _sparse_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, exclude_self: bool):
     """Squared Euclidean distance of unit rows; an empty row has length zero."""
     parts = []
-    for q_at in range(0, len(queries), _STEP):
-        q_piece = queries.iloc[q_at:q_at + _STEP]
-        lists = [a for a in q_piece["idx"] if len(a)]
-        terms = np.unique(np.concatenate(lists)) if lists else np.zeros(1, dtype=np.int64)
-        q = _densify(q_piece, terms)
-        q_ids = q_piece["row_id"].to_numpy()
-        q_norms = (q_piece["idx"].map(len).to_numpy() > 0).astype(np.float64)
-        for c_at in range(0, len(candidates), _STEP):
-            c_piece = candidates.iloc[c_at:c_at + _STEP]
-            c_ids = c_piece["row_id"].to_numpy()
-            c_norms = (c_piece["idx"].map(len).to_numpy() > 0).astype(np.float64)
-            d = q_norms[:, None] + c_norms[None, :] - 2.0 * (q @ _densify(c_piece, terms).T)
+    pieces = [candidates.iloc[at:at + _STEP] for at in range(0, len(candidates), _STEP)]
+    pieces = [(piece["row_id"].to_numpy(), _Postings(piece)) for piece in pieces]
+    for at in range(0, len(queries), _STEP):
+        q_piece = queries.iloc[at:at + _STEP]
+        q_ids, q = q_piece["row_id"].to_numpy(), _Postings(q_piece)
+        for c_ids, c in pieces:
+            d = q.lengths[:, None] + c.lengths[None, :] - 2.0 * _dots(q, c)
             if exclude_self:
                 d[q_ids[:, None] == c_ids[None, :]] = np.inf
             rows, cols, distance = _best(d, lambda r, c: d[r, c], c_ids, k, 1e-9)

@@ -83,6 +83,20 @@ def test_knn_sparse_is_exact(spark, block_rows):
     assert as_lists(found) == expected
 
 
+@pytest.mark.parametrize("long", [0, 6, 1000])
+def test_dots_of_postings(monkeypatch, long):
+    import pandas as pd
+
+    monkeypatch.setattr(neighbours, "_LONG", long)
+    draw = np.random.default_rng(4)
+    dense = [draw.random((n, 9)) * (draw.random((n, 9)) < 0.4) for n in (7, 11)]
+    frames = [pd.DataFrame({"idx": [np.flatnonzero(v) * 10**15 for v in m], "val": [v[v != 0] for v in m]}) for m in dense]
+    q, c = (neighbours._Postings(f) for f in frames)
+    assert np.allclose(neighbours._dots(q, c), dense[0] @ dense[1].T)
+    none = neighbours._Postings(frames[0].assign(idx=[[]] * 7, val=[[]] * 7))
+    assert not neighbours._dots(none, c).any() and not none.lengths.any()
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "row_id long, vec array<float>")
     assert as_lists(neighbours.knn_vectors(df, df, 5, True)) == {1: [2], 2: [1]}
