@@ -1,8 +1,11 @@
 """Similarity join of documents on word n-grams by token-combination prefixes.
 
-Tokens are the distinct n-grams of a text, ordered by their hash. Two sets as alike
-as asked share a token among the first ``size - least overlap + 1`` of each (the
-prefix), and sizes within the threshold put them into a common size class.
+Tokens are the distinct n-grams of a text, ordered by how many documents have them
+(in classes, the rare ones first) and then by their hash. Two sets as alike as asked
+share a token among the first ``size - least overlap + 1`` of each (the prefix), and
+sizes within the threshold put them into a common size class. The classes come from
+counters of fixed number, which tokens share by hash: an error in them moves a token in
+the order all sets have in common, and loses no link.
 
 1. Equal sets form one class; only its least id goes on.
 2. Prefix tokens are counted per size class. A rare one (up to ``RARE`` documents)
@@ -28,6 +31,7 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -35,6 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import drop_stage, stage
@@ -45,7 +50,10 @@ RARE = 32
 SKETCH_BITS = 1024
 #: Documents of a crowded list with which all others of it are compared.
 LEADERS = 4
+#: Counters for the frequencies of tokens; a task holds four bytes of each, and one byte of each is broadcast.
+COUNTERS = 1 << 24
 _SLACK, _SPARE_SHARE = 3, 0.1
+_CHUNKS, _OCTAVE, _CLASS_BITS = 64, 8, 4
 
 
 class Likeness(NamedTuple):
@@ -74,14 +82,20 @@ class Likeness(NamedTuple):
         return (differ + 1 + np.where(differ < 1, 0, slack)).astype(np.int64), np.where(differ < 1, 0, slack).astype(np.int64)
 
 
-def _sets(w: W.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams: ``(text, token)`` sorted by both, and set sizes."""
+def _sets(w: W.Words, width: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams: ``(text, token)`` sorted by both, and set sizes.
+
+    With ``classes`` the first bits of a token are its frequency class.
+    """
     n_texts, counts = len(w.first) - 1, np.diff(w.first)
     token, inside = W.windows(w, width)
     text, token = W.texts_of(w)[inside], token[inside]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
         text, token = np.concatenate([text, short]), np.concatenate([token, W.wholes(w)[short]])
+    if classes is not None:
+        front = classes[_counter(token, len(classes))].astype(np.uint64)
+        token = front << np.uint64(64 - _CLASS_BITS) | token >> np.uint64(_CLASS_BITS)
     order = np.lexsort((token, text))
     text, token = text[order], token[order]
     new = np.ones(len(text), dtype=bool)
@@ -95,13 +109,60 @@ def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
                                     pa.array(values.view(np.int64)))
 
 
-def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
+def _counter(token: np.ndarray, counters: int) -> np.ndarray:
+    return (token & np.uint64(counters - 1)).astype(np.int64)
+
+
+def frequency_classes(docs: DataFrame, like: Likeness) -> np.ndarray:
+    """The frequency class of each counter: 0 where its tokens may all be rare.
+
+    Every task counts all its documents; counters are added chunk by chunk, and one byte
+    each (a logarithm) comes to the driver, where what is above the mean gives the class.
+    """
+    counters = COUNTERS
+    chunk_size = counters // _CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, dtype=np.uint32)
+        for batch in batches:
+            for _, _, found in W.slices(batch, lower=True):
+                np.add.at(counts, _counter(_sets(found, like.width)[1], counters), 1)
+        for chunk, part in enumerate(counts.reshape(_CHUNKS, chunk_size)):
+            if part.any():  # byte by byte: the higher ones are nearly all 0
+                packed = zlib.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed])], ["chunk", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
+                total = totals.setdefault(chunk, np.zeros(chunk_size, dtype=np.int64))
+                total += np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+        for chunk, total in totals.items():
+            logs = np.minimum(np.floor(_OCTAVE * np.log2(total + 1.0) + 1e-9), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([logs.tobytes()])], ["chunk", "logs"])
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk long, counts binary")
+    summed = stage(parts.repartition(_CHUNKS, "chunk").mapInArrow(add_up, "chunk long, logs binary"), "jaccard-frequencies")
+    logs = np.zeros((_CHUNKS, chunk_size), dtype=np.uint8)
+    for row in summed.toLocalIterator():  # at most _CHUNKS rows
+        logs[row.chunk] = np.frombuffer(row.logs, dtype=np.uint8)
+    drop_stage(summed)
+    value = 2.0 ** (np.arange(256) / _OCTAVE) - 1
+    mean = float(np.bincount(logs.ravel(), minlength=256) @ value) / counters
+    clear = max(RARE / 4, 4 * math.sqrt(mean))
+    found = np.where(value - mean > clear, 1 + np.log2(np.maximum(value - mean, clear) / clear), 0)
+    return np.minimum(found, (1 << _CLASS_BITS) - 1).astype(np.uint8)[logs.ravel()]
+
+
+def signatures(docs: DataFrame, like: Likeness, classes: Broadcast) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, prefix, sketch``: set size, 128-bit set digest, prefix
     tokens, and for each of ``SKETCH_BITS`` hash values whether an odd number of tokens has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, found in W.slices(batch, lower=True):
-                text, token, size = _sets(found, like.width)
+                text, token, size = _sets(found, like.width, classes.value)
                 first = np.concatenate([[0], np.cumsum(size)])
                 digests = []
                 for salt in (0x1234567, 0x89ABCDE):
@@ -342,7 +403,9 @@ def _left_open(hot: DataFrame, comps: DataFrame, reps: DataFrame, like: Likeness
 
 def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the least id reachable by links."""
-    rows = stage(signatures(docs, like), "jaccard-signatures")
+    frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, like))
+    rows = stage(signatures(docs, like, frequency), "jaccard-signatures")
+    frequency.unpersist()
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stage(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     key = ["n_shingles", "d1", "d2"]
