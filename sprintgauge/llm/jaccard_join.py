@@ -144,7 +144,7 @@ def frequency_classes(docs: DataFrame, like: Likeness) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([logs.tobytes()])], ["chunk", "logs"])
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk long, counts binary")
-    summed = stage(parts.repartition(_CHUNKS, "chunk").mapInArrow(add_up, "chunk long, logs binary"), "jaccard-frequencies")
+    summed = stage(parts.repartition("chunk").mapInArrow(add_up, "chunk long, logs binary"), "jaccard-frequencies")
     logs = np.zeros((_CHUNKS, chunk_size), dtype=np.uint8)
     for row in summed.toLocalIterator():  # at most _CHUNKS rows
         logs[row.chunk] = np.frombuffer(row.logs, dtype=np.uint8)
