@@ -21,7 +21,7 @@ def rule_predictions(role_rows: DataFrame, split: list[str], row: list[str]) ->
         (F.sum(F.col("storypoint") * F.col("n")) / F.sum("n")).alias("train_mean"),
         F.percentile("storypoint", 0.5, F.col("n")).alias("train_median"),
     )
-    tested = role_rows.filter(F.col("role") == "test").join(rules, split)
+    tested = role_rows.filter(F.col("role") == "test").join(F.broadcast(rules), split)  # one row per split
     return tested.select(
         *split, *row, F.col("storypoint").alias("y"),
         F.explode(F.create_map(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -30,28 +32,49 @@ def _pages(spark, sf_dir, column):
     return pages.select("page_id", column.alias("plain"))
 
 
-def _scan(spark, sf_dir):
-    """Export each project as CSV, then scan the exports by header."""
-    import uuid
-
-    root = f"{staging_root(spark)}/exports-{uuid.uuid4().hex}"
-    exported = _raw(spark, sf_dir).select("dataset_name", "issuekey", "title", "description",
-                                          "storypoint")
-    (exported.withColumn("project", F.col("dataset_name")).write.partitionBy("dataset_name")
+def _export(rows, root):
+    """Each project of ``rows`` as a folder of CSV part files under ``root``."""
+    (rows.write.mode("append").partitionBy("dataset_name")
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(root))
-    rows = projects.scan_columns(
-        spark, root, ["project", "issuekey", "title", "description", "storypoint"]
-    )
-    return rows.select(
-        F.col("project").alias("dataset_name"), "issuekey", "title", "description",
-        F.col("storypoint").try_cast("double").alias("storypoint"),
-    )
 
 
-def _corpus_roles(spark, sf_dir):
-    return base.curated(spark, sf_dir)
+def _exported(spark, *tables):
+    root = f"{staging_root(spark)}/exports-{uuid.uuid4().hex}"
+    for rows in tables:
+        _export(rows, root)
+    return root
+
+
+def _scan(spark, sf_dir):
+    """Export every project as CSV, then scan the exports by header."""
+    root = _exported(spark, _raw(spark, sf_dir).drop("row_ord"))
+    return projects.scan_requirements(spark, root, excluded=()).drop("row_ord")
+
+
+def _retrieval_corpus(spark, sf_dir):
+    root = _exported(spark, _raw(spark, sf_dir).drop("row_ord"))
+    return projects.retrieval_corpus(spark, root).withColumn("storypoint", F.col("storypoint").cast("double"))
+
+
+def _treated_exports(spark, sf_dir):
+    """Treated exports in two layouts: every other project lacks the key column."""
+    rows = base.curated(spark, sf_dir).select(
+        "dataset_name", "issuekey", "treated_description_bert", "storypoint")
+    keyless = F.crc32(F.col("dataset_name")) % 2 == 0
+    return _exported(spark, rows.filter(~keyless), rows.filter(keyless).drop("issuekey"))
+
+
+def _mlm_corpus(spark, sf_dir):
+    return projects.language_corpus(spark, _treated_exports(spark, sf_dir))
+
+
+def _union(spark, sf_dir):
+    """The layouts are united by column name; what one lacks is NULL."""
+    rows = projects.scan_columns(
+        spark, _treated_exports(spark, sf_dir), ["treated_description_bert", "storypoint"], ["issuekey"])
+    return rows.select(F.col("treated_description_bert").alias("text"), F.col("storypoint").cast("double"))
 
 
 QUERIES = {
@@ -75,11 +98,9 @@ QUERIES = {
         base.staged_once(s, d, "first_copies", lambda: base.first_copies(s, d))),
     "limit_per_dataset": lambda s, d: ops.limit_per_dataset(
         base.staged_once(s, d, "first_copies", lambda: base.first_copies(s, d)), 50),
-    "union_datasets": lambda s, d: base.curated(s, d).select(
-        F.col("treated_description_bert").alias("text"), "storypoint"),
-    "mlm_corpus": lambda s, d: base.curated(s, d).select(
-        F.col("treated_description_bert").alias("text")),
-    "retrieval_corpus": lambda s, d: _raw(s, d).select("description", "storypoint").dropna(),
+    "union_datasets": _union,
+    "mlm_corpus": _mlm_corpus,
+    "retrieval_corpus": _retrieval_corpus,
     "with_defaults": lambda s, d: projects.with_defaults(
         _raw(s, d).select("dataset_name", "row_ord", "storypoint")),
     "curate_view": lambda s, d: ops.treat(

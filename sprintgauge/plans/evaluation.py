@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..operators import features, lookup, neighbours, scaling, scoring, splits
+from ..sources import sinks
 from . import base, oracles as o
 
 ROW = ["dataset_name", "issuekey", "row_ord"]
 SPLIT = ["dataset_name", "split"]
+INNER = [*SPLIT, "inner"]
 MODELS = ["train_mean", "train_median", "linear", "ridge", "lasso", "elastic_net",
           "rff_huber", "knn3", "knn5", "tree", "forest", "boosted_deep",
           "boosted_shallow", "stacking", "dynamic"]
@@ -115,10 +117,11 @@ def _weights(s, d):
 
 
 def _ledger_dedup(s, d):
-    """Every experiment recorded twice, once per run stamp, kept once."""
+    """Every experiment recorded by two runs, kept once whatever their stamps."""
     ledger = intra_ledger(s, d).select(*splits.INTRA_KEY, "mae_mean")
-    twice = ledger.unionByName(ledger)
-    return twice.dropDuplicates(splits.INTRA_KEY)
+    runs = [ledger.withColumn("executed_at", F.lit(at).cast("timestamp"))
+            for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00")]
+    return sinks.ledger_dedup(runs[0].unionByName(runs[1]), splits.INTRA_KEY).drop("executed_at")
 
 
 def _trials(s, d):
@@ -146,17 +149,43 @@ def _unscale_target(s, d):
     return restored.select(*SPLIT, "row_ord", F.round("restored", 6).alias("restored"))
 
 
+def inner_roles(s, d):
+    """Train rows of each split, dealt again: each of their folds is held out once."""
+    train = intra(s, d).filter("role = 'train'").drop("role").join(folds(s, d), ROW)
+    inner = F.explode(F.sequence(F.lit(1), F.lit(lexicon.FOLDS))).alias("inner")
+    return train.select("*", inner).filter("inner <> split").select(
+        *INNER, "issuekey", "row_ord",
+        F.when(F.col("fold") == F.col("inner"), "test").otherwise("train").alias("role"))
+
+
+def held_predictions(s, d):
+    """Predictions for train rows by models that saw neither their fold nor the split's test rows."""
+    def build():
+        roles = inner_roles(s, d)
+        rows = tfidf(s, d).filter("role = 'train'").drop("role").join(roles, [*SPLIT, "issuekey", "row_ord"])
+        rows = rows.withColumn("row_id", F.col("row_ord"))
+        near = neighbours.knn_sparse(rows.filter("role = 'test'"), rows.filter("role = 'train'"), INNER)
+        labels = points(s, d).select("dataset_name", F.col("row_ord").alias("row_id"), "storypoint")
+        found = lookup.average_of_neighbours(
+            neighbours.attach_rows(near, labels, ["dataset_name"]), [*INNER, "query_id"], [3, 5])
+        truth = labels.select("dataset_name", F.col("row_id").alias("query_id"), F.col("storypoint").alias("y"))
+        found = found.join(truth, ["dataset_name", "query_id"]).withColumnRenamed("query_id", "row_ord")
+        rules = scoring.rule_predictions(roles.join(points(s, d), ROW), INNER, ["row_ord"])
+        return rules.unionByName(found)
+    return base.staged_once(s, d, "held", build)
+
+
 def local_errors(s, d):
     """Mean absolute error of each model on a query's neighbours.
 
-    Neighbours are train rows of the query's split; their errors are those of
-    their own out-of-fold predictions.
+    Neighbours are train rows of the query's split. Their errors are those of models
+    fitted inside that split's train rows, so no label of a test row takes part.
     """
     near = intra_neighbours(s, d).select(
-        "dataset_name", "split", "query_id", F.col("neighbour_id").alias("row_ord"))
-    errors = oof(s, d).select(
-        "dataset_name", "row_ord", "model", F.abs(F.col("y") - F.col("prediction")).alias("error"))
-    return near.join(errors, ["dataset_name", "row_ord"]).groupBy(
+        *SPLIT, "query_id", F.col("neighbour_id").alias("row_ord"))
+    errors = held_predictions(s, d).select(
+        *SPLIT, "row_ord", "model", F.abs(F.col("y") - F.col("prediction")).alias("error"))
+    return near.join(errors, [*SPLIT, "row_ord"]).groupBy(
         *SPLIT, "query_id", "model").agg(F.round(F.avg("error"), 9).alias("local_error"))
 
 
@@ -303,14 +332,14 @@ SELECT dataset_name, split, trial, 'k=' || trial AS params, mae FROM (
     round({o.SQL_METRICS['mae']}, 6) AS mae
   FROM predictions WHERE model LIKE 'knn%' GROUP BY dataset_name, split, model)
 QUALIFY row_number() OVER (PARTITION BY dataset_name, split ORDER BY mae, trial) = 1"""),
-    "predict_des": o.with_blocks(["predictions"], """
+    "predict_des": o.with_blocks(["predictions", "held"], """
 SELECT dataset_name, split, query_id, round(sum(prediction / (local_error + 1e-6::DOUBLE))
   / sum(1 / (local_error + 1e-6::DOUBLE)), 6) AS prediction
 FROM (SELECT *, avg(local_error) OVER (PARTITION BY dataset_name, split, query_id) AS mean_error
   FROM (SELECT n.dataset_name, n.split, query_id, model, round(avg(abs(y - prediction)), 9)
       AS local_error
-    FROM neighbours n JOIN predictions p ON p.dataset_name = n.dataset_name
-      AND p.row_ord = n.neighbour_id GROUP BY ALL))
+    FROM neighbours n JOIN held p ON p.dataset_name = n.dataset_name
+      AND p.split = n.split AND p.row_ord = n.neighbour_id GROUP BY ALL))
   JOIN (SELECT dataset_name, split, row_ord AS query_id, model, prediction FROM predictions)
   USING (dataset_name, split, query_id, model)
 WHERE local_error <= mean_error + 1e-12::DOUBLE GROUP BY ALL"""),

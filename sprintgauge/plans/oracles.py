@@ -220,6 +220,38 @@ FROM intra_roles r JOIN capped USING (dataset_name, issuekey, row_ord) JOIN (
   ON p.dataset_name = r.dataset_name AND p.split = r.split
   AND coalesce(p.query_id, r.row_ord) = r.row_ord
 WHERE r.role = 'test'""",
+    ),
+    "trained": (
+        ["weights", "folds"],
+        """SELECT r.dataset_name, r.split, r.row_ord, fold, storypoint,
+  CASE WHEN EXISTS (FROM weights w WHERE w.dataset_name = r.dataset_name
+    AND w.split = r.split AND w.row_ord = r.row_ord) THEN 1.0::DOUBLE ELSE 0 END AS filled
+FROM intra_roles r JOIN folds USING (dataset_name, issuekey, row_ord)
+  JOIN capped USING (dataset_name, issuekey, row_ord) WHERE role = 'train'""",
+    ),
+    "held": (
+        ["trained"],
+        """SELECT q.dataset_name, q.split, q.row_ord, q.storypoint AS y, model, prediction
+FROM trained q JOIN (
+  SELECT dataset_name, split, fold, unnest(['train_mean', 'train_median']) AS model,
+    unnest([mean, middle]) AS prediction
+  FROM (SELECT h.dataset_name, h.split, h.fold, avg(storypoint) AS mean, median(storypoint) AS middle
+    FROM (SELECT DISTINCT dataset_name, split, fold FROM trained) h JOIN trained c
+    ON c.dataset_name = h.dataset_name AND c.split = h.split AND c.fold <> h.fold GROUP BY ALL)) p
+  ON p.dataset_name = q.dataset_name AND p.split = q.split AND p.fold = q.fold
+UNION ALL
+SELECT dataset_name, split, query_id, y, 'knn' || k, avg(storypoint) FROM (
+  SELECT q.dataset_name, q.split, q.row_ord AS query_id, q.storypoint AS y, c.storypoint,
+    row_number() OVER (PARTITION BY q.dataset_name, q.split, q.row_ord ORDER BY
+      round(greatest(q.filled + c.filled - 2 * coalesce(sim, 0), 0), 9), c.row_ord) AS rank
+  FROM trained q JOIN trained c
+    ON q.dataset_name = c.dataset_name AND q.split = c.split AND q.fold <> c.fold
+  LEFT JOIN (SELECT a.dataset_name, a.split, a.row_ord AS qr, b.row_ord AS cr, sum(a.w * b.w) AS sim
+    FROM weights a JOIN weights b USING (dataset_name, split, term)
+    WHERE a.role = 'train' AND b.role = 'train' GROUP BY ALL) s
+    ON s.dataset_name = q.dataset_name AND s.split = q.split AND s.qr = q.row_ord
+    AND s.cr = c.row_ord)
+JOIN (SELECT unnest([3, 5]) AS k) ON rank <= k GROUP BY ALL""",
     ),
     "inter_predictions": (
         ["loo"],

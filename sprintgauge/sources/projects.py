@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,8 +20,28 @@ def _not_missing(value: Column) -> Column:
     return F.when(~value.isin(lexicon.NA_STRINGS), value)
 
 
+# A project is one file named after it, or a partition folder of part files.
+_FOLDER = "dataset_name="
+
+
+def project_of(path: str) -> str:
+    """Name of the project an export file belongs to."""
+    *_, folder, name = ["", *path.split("/")]
+    return unquote(folder.removeprefix(_FOLDER)) if folder.startswith(_FOLDER) else name.removesuffix(".csv")
+
+
+def _project_column() -> Column:
+    """``project_of`` for the file a row is read from, whose path is escaped once more."""
+    def decoded(text: Column) -> Column:
+        return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+    folder = F.regexp_extract("_metadata.file_path", f"/{_FOLDER}([^/]*)/[^/]*$", 1)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv\z", "")
+    return F.when(folder == "", stem).otherwise(decoded(decoded(folder)))
+
+
 def project_names(spark: SparkSession, root: str) -> set[str]:
-    return {p.rsplit("/", 1)[-1].removesuffix(".csv") for p in project_files(spark, root)}
+    return {project_of(p) for p in project_files(spark, root)}
 
 
 def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[str]:
@@ -33,24 +54,25 @@ def project_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[
 
 
 def _one_file_each(spark: SparkSession, root: str) -> None:
-    """Raise when two exports have one name: rows of a project would share numbers."""
-    seen: set[str] = set()
+    """Raise when two exports have one name: a project is one file or one folder of parts."""
+    seen: dict[str, str] = {}
     for path in project_files(spark, root):
-        name = path.rsplit("/", 1)[-1]
-        if name in seen:
-            raise ValueError(f"several exports are named {name}: a project is one file")
-        seen.add(name)
+        folder = path.rsplit("/", 1)[0]
+        export = folder if folder.rsplit("/", 1)[-1].startswith(_FOLDER) else path
+        if seen.setdefault(project_of(path), export) != export:
+            raise ValueError(f"several exports are named {project_of(path)}.csv: a project is one export")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``row_ord``: place of a row in its file, from 0, however files are cut and packed.
+    """``row_ord``: place of a row in its export, from 0, however files are cut and packed.
 
     A running id goes up inside each split of a file, wherever it starts. One count
-    per split, the size of the file listing, says where the split begins in its file.
+    per split, the size of the file listing, says where the split begins. Part files
+    of one export follow each other by path.
     """
-    splits = rows.groupBy("_file", "_block").agg(
+    splits = rows.groupBy("dataset_name", "_file", "_block").agg(
         F.min("_running").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block")
+    before = Window.partitionBy("dataset_name").orderBy("_file", "_block")
     splits = splits.select("_file", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_start")).alias("_shift"))
     joined = rows.join(F.broadcast(splits), ["_file", "_block"])
     return joined.select("dataset_name", (F.col("_running") + F.col("_shift")).alias("row_ord"),
@@ -80,8 +102,8 @@ def scan_columns(
     """
     wanted_paths = []
     for path in project_files(spark, root):
-        stem = path.rsplit("/", 1)[-1].removesuffix(".csv")
-        if stem not in skip and not any(literal in stem for literal in excluded):
+        project = project_of(path)
+        if project not in skip and not any(literal in project for literal in excluded):
             wanted_paths.append(path)
     layouts: dict[tuple[str, ...], list[str]] = {}
     with ThreadPool(16) as pool:
@@ -96,7 +118,7 @@ def scan_columns(
     for header, paths in sorted(layouts.items()):
         wanted = [c for c in [*required, *optional] if c in header]
         rows = _reader(spark, multi_line).csv(paths).select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.csv\z", "").alias("dataset_name"),
+            _project_column().alias("dataset_name"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_running"),
@@ -114,7 +136,7 @@ def scan_requirements(
     spark: SparkSession, root: str, multi_line: bool = True,
     excluded: list[str] = (lexicon.EXCLUDED_PROJECT,), skip: set[str] = frozenset(),
 ) -> DataFrame:
-    """Raw requirements of every project under ``root``, one file per project."""
+    """Raw requirements of every project under ``root``, one file or folder of parts each."""
     _one_file_each(spark, root)
     rows = scan_columns(
         spark, root, ["description", "storypoint", "issuekey", "title"],

@@ -100,3 +100,18 @@ def test_views(spark):
 def test_staged_tables_use_the_shared_folder(spark, sf_dir):
     files = base.curated(spark, sf_dir).inputFiles()
     assert files and all(spark.conf.get("spark.checkpoint.dir") in f for f in files)
+
+
+def test_an_export_may_be_a_folder_of_parts(spark, tmp_path):
+    names = ["aa", "b c+d=50%"]
+    rows = spark.range(40).select(
+        F.when(F.col("id") % 2 == 0, names[0]).otherwise(names[1]).alias("dataset_name"),
+        F.concat(F.lit("k"), "id").alias("issuekey"), F.lit("t").alias("title"),
+        F.lit("some text").alias("description"), F.lit(3).alias("storypoint"))
+    rows.repartition(3).write.partitionBy("dataset_name").option("header", True).csv(str(tmp_path / "x"))
+    assert projects.project_names(spark, str(tmp_path / "x")) == set(names)
+    found = projects.scan_requirements(spark, str(tmp_path / "x")).collect()
+    for at, name in enumerate(names):
+        mine = [r for r in found if r.dataset_name == name]
+        assert sorted(r.row_ord for r in mine) == list(range(20))
+        assert {r.issuekey for r in mine} == {f"k{i}" for i in range(at, 40, 2)}
