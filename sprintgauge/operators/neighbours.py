@@ -277,6 +277,65 @@ def knn_vectors(queries: DataFrame, candidates: DataFrame, k: int = lexicon.RETR
     return top_k(found.drop("cell"), ["query_id"], [F.col(c) for c in _ORDER], k)
 
 
+#: Candidates, at most, that set where the hyperplanes of ``knn_lsh`` lie.
+SAMPLE_ROWS = 1024
+
+
+class _Planes:
+    """Random hyperplanes of some hash tables, each through the median of a sample."""
+
+    def __init__(self, sample: np.ndarray, tables: int, bits: int):
+        draw = np.random.default_rng(lexicon.SEED)
+        self.tables, self.bits = tables, bits
+        self.directions = draw.standard_normal((sample.shape[1], tables * bits))
+        self.medians = np.median(sample @ self.directions, axis=0)
+
+    def cells(self, vectors: pd.Series, probes: int) -> pd.Series:
+        """Per vector its bucket in every table, then those behind its nearest planes."""
+        points = np.stack(vectors.to_numpy()).astype(np.float64)
+        margin = (points @ self.directions - self.medians).reshape(len(points), self.tables, self.bits)
+        worth = np.left_shift(1, np.arange(self.bits))
+        home = ((margin > 0) * worth).sum(axis=2) + (np.arange(self.tables) << self.bits)
+        near = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :probes]
+        codes = np.concatenate([home[:, :, None], home[:, :, None] ^ worth[near]], axis=2)
+        return pd.Series(list(codes.reshape(len(points), -1)))
+
+
+def knn_lsh(queries: DataFrame, candidates: DataFrame, k: int = lexicon.RETRIEVED,
+            exclude_self: bool = False, tables: int = 8, probes: int = 6,
+            bucket_rows: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """k nearest dense vectors, approximate: only rows of probed buckets are compared.
+
+    Same columns as ``knn_vectors``; distances are exact. Every candidate lies in one
+    bucket of each table; bits grow with the candidates so that an average bucket holds
+    about ``bucket_rows``. A query visits its bucket and those behind its ``probes``
+    nearest planes. A bucket of any size is cut into blocks, none is capped. Rows
+    without a vector take no part; a query whose buckets are empty has no neighbours.
+    """
+    queries, candidates = [
+        side.select("row_id", "vec").filter("vec IS NOT NULL") for side in (queries, candidates)]
+    count = candidates.count()
+    bits = max(1, int(np.ceil(np.log2(max(count, 1) / bucket_rows))))
+    drawn = candidates.orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_ROWS).collect()
+    if not drawn:
+        queries = queries.limit(0)
+    sample = np.array([row.vec for row in drawn] or [[0.0]], dtype=np.float64)
+    planes = _Planes(sample, tables, bits)
+
+    def bucketed(side: DataFrame, flips: int) -> DataFrame:
+        @F.pandas_udf("array<bigint>")
+        def cells(vectors: pd.Series) -> pd.Series:
+            return planes.cells(vectors, flips)
+
+        return side.select(F.explode(cells("vec")).alias("cell"), "row_id", "vec")
+
+    found = _blocked(bucketed(queries, probes), bucketed(candidates, 0), ["cell"], k,
+                     _dense_block, exclude_self, block_rows)
+    # Tables overlap: a pair found in several of them has one distance.
+    once = found.drop("cell").distinct()
+    return top_k(once, ["query_id"], [F.col(c) for c in _ORDER], k)
+
+
 def attach_rows(neighbours: DataFrame, rows: DataFrame, on: list[str] = ()) -> DataFrame:
     """Neighbour ids to neighbour rows; ``rows`` carries ``row_id``."""
     return neighbours.join(rows.withColumnRenamed("row_id", "neighbour_id"), [*on, "neighbour_id"])

@@ -27,6 +27,13 @@ def _knn_join(s, d):
     return found.select("query_id", "neighbour_id", "rank", F.round("distance", 5).alias("distance"))
 
 
+def _knn_lsh(s, d):
+    """Neighbours of every vector whose id 50 divides, among all vectors."""
+    asked = _vectors(s, d).filter("row_id % 50 = 0")
+    found = neighbours.knn_lsh(asked, _vectors(s, d), exclude_self=True)
+    return found.select("query_id", "neighbour_id", "rank", F.round("distance", 5).alias("distance"))
+
+
 def retrievable(s, d):
     """Every curated row: each is a query and a candidate."""
     return base.curated(s, d).select(
@@ -126,6 +133,7 @@ def _mean_of_vector():
 
 QUERIES = {
     "knn_join": _knn_join,
+    "knn_lsh": _knn_lsh,
     "prompt_zero_shot": lambda s, d: _prompts(s, d, answers.zero_shot_prompt),
     "prompt_with_role": lambda s, d: _prompts(s, d, answers.role_prompt),
     "truncate_prompt": lambda s, d: _prompts(s, d, lambda x: answers.truncate_prompt(
