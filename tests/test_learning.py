@@ -97,6 +97,43 @@ def test_dots_of_postings(monkeypatch, long):
     assert not neighbours._dots(none, c).any() and not none.lengths.any()
 
 
+@pytest.mark.parametrize("long", [0, 6, 1000])
+def test_terms_of_most_rows_and_of_few_add_up(monkeypatch, long):
+    import pandas as pd
+
+    monkeypatch.setattr(neighbours, "_LONG", long)
+    monkeypatch.setattr(neighbours, "_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "_GROUP", 2)
+    draw = np.random.default_rng(6)
+    dense = draw.random((60, 40)) * (draw.random((60, 40)) < draw.random(40) ** 2)
+    dense[::7] = 0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
+    frame = pd.DataFrame({"row_id": np.arange(60), "idx": [np.flatnonzero(v) * 10**15 for v in dense],
+                          "val": [v[v != 0] for v in dense]})
+    found = neighbours._sparse_block(frame[:20], frame, 4, True)
+    full = (dense.any(axis=1)).astype(float)
+    for i in range(20):
+        d = np.round(full[i] + full - 2 * dense @ dense[i], 9)
+        d[i] = np.inf
+        wanted = np.lexsort((np.arange(60), d))[:4]
+        assert found[found.query_id == i].neighbour_id.tolist() == wanted.tolist()
+
+
+def test_rounds_bound_the_copies_of_blocks(spark, monkeypatch):
+    rows = spark.range(120).selectExpr(
+        "'s' AS split", "id AS row_id", "array(int(id % 11), 11 + int(id % 7)) AS idx",
+        "array(0.6D, 0.8D) AS val")
+    whole = neighbours.knn_sparse(rows, rows, ["split"], 3, True)
+    assert neighbours._rounds(rows, rows, ["split"], 8192) == 1
+    # 15 blocks a side: 3,600 copies of 240 rows in one go, at most about 2 each in a round.
+    assert neighbours._rounds(rows, rows, ["split"], 8) == 8
+    sent, real = [], neighbours._blocked
+    monkeypatch.setattr(neighbours, "_blocked", lambda asked, *rest: sent.append(asked.count()) or real(asked, *rest))
+    parted = neighbours.knn_sparse(rows, rows, ["split"], 3, True, block_rows=8)
+    assert len(sent) == 8 and sum(sent) == 120
+    assert as_lists(parted) == as_lists(whole)
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "row_id long, vec array<float>")
     assert as_lists(neighbours.knn_vectors(df, df, 5, True)) == {1: [2], 2: [1]}
