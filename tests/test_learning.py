@@ -134,6 +134,18 @@ def test_rounds_bound_the_copies_of_blocks(spark, monkeypatch):
     assert as_lists(parted) == as_lists(whole)
 
 
+def test_a_task_regroups_the_terms_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(features, "TASK_ROWS", 8, raising=False)
+    rows = spark.range(80).selectExpr("concat('p', id % 2) AS dataset_name", "id AS row_ord", "concat('word', id % 5, ' common word') AS text")
+    keys = ["dataset_name", "row_ord"]
+    bags = features.term_bags(rows, keys)
+    roles = rows.selectExpr("dataset_name", "row_ord", "1 AS split", "IF(row_ord % 4 = 0, 'test', 'train') AS role")
+    weighed = features.tfidf_rows(bags, roles, ["dataset_name", "split"], keys)
+    for made in (bags, weighed):
+        sizes = made.groupBy(F.spark_partition_id()).count().collect()  # few bytes: adaptive execution would merge all
+        assert len(sizes) > 4 and sum(x["count"] for x in sizes) == 80
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "row_id long, vec array<float>")
     assert as_lists(neighbours.knn_vectors(df, df, 5, True)) == {1: [2], 2: [1]}
