@@ -146,6 +146,19 @@ def test_a_task_regroups_the_terms_of_a_bounded_number_of_rows(spark, monkeypatc
         assert len(sizes) > 4 and sum(x["count"] for x in sizes) == 80
 
 
+def test_terms_a_row_holds_twice_keep_their_count():
+    import pandas as pd
+
+    few = pd.DataFrame({"row_id": [1, 2], "idx": [np.array([5, 5, 9]), np.array([5, 9])],
+                        "val": [np.array([0.5, 0.5, 0.7]), np.array([0.6, 0.8])]})
+    assert neighbours._Postings(few).repeats() and not neighbours._Postings(few[1:]).repeats()
+    d = neighbours._repeated_dots(*2 * (neighbours._Postings(few),))
+    assert np.allclose(d[0, 1], 2 * 0.5 * 0.6 + 0.7 * 0.8)  # short lists: every pair of entries
+    many = pd.concat([few.assign(row_id=few.row_id + 2 * i) for i in range(10)], ignore_index=True)
+    d = neighbours._repeated_dots(*2 * (neighbours._Postings(many),))
+    assert np.allclose(d[0, 1], 0.5 * 0.6 + 0.7 * 0.8)  # long ones: once
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "row_id long, vec array<float>")
     assert as_lists(neighbours.knn_vectors(df, df, 5, True)) == {1: [2], 2: [1]}
