@@ -9,7 +9,7 @@ one number per file.
 
 Encoding remembers, per Python worker, the ids of at least the last ``CACHE_PIECES``
 pieces: texts are cut at single spaces and line feeds, which no token of
-this tokenizer spans.
+this tokenizer spans. The marks behind the last letter of a piece are remembered apart.
 
 Defined results: a null text is an empty text and yields the end id alone; a null
 document id sorts first; repeated rows are kept, ties go by a hash of the text; an
@@ -18,6 +18,7 @@ empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,54 @@ ORC_OPTIONS = {
     "orc.row.index.stride": "2000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 _LATIN_END = "ɐ"
+#: Bytes of text that are encoded at a time; a longer text is alone.
+SLICE_BYTES = 4 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The second bytes of U+00C0 to U+00FF (the first is 195): capitals, and what is no letter.
+_LOWER_SECOND = np.arange(256, dtype=np.uint8)
+_LOWER_SECOND[[*range(0x80, 0x97), *range(0x98, 0x9F)]] += 32
+_LETTER = np.array([b < 128 and chr(b).isalpha() or 128 <= b < 192 and b not in (0x97, 0xB7) for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def _parted(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Of each piece the text up to its last letter in lower case, and the marks behind that.
+
+    Only pieces of ASCII and U+00C0 to U+00FF are changed: no character of theirs changes
+    with its neighbours, and no token holds a letter and the mark behind it. Pieces with a ``<``
+    stay: there may be special tokens in them.
+    """
+    _, offsets, data = pieces.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    start, end = offsets[:-1], offsets[1:]
+    other = np.concatenate([[0], np.cumsum((data >= 192) & (data != 195) | (data == ord("<")))])
+    plain = other[end] == other[start]
+    lower = np.where(data < 128, _LOWER[data], data)
+    second = np.flatnonzero(data == 195) + 1
+    lower[second] = _LOWER_SECOND[data[second]]
+    data = np.where(np.repeat(plain, end - start), lower, data)
+    last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))  # no mark: the last one so far
+    last = np.append(last, -1)[end - 1]  # of an empty piece that of another
+    cut = plain & (last >= start) & (end > start) & _LETTER[np.append(data, 0)[last]]
+    middle = np.where(cut, last + 1, end)
+
+    def text(start: np.ndarray, end: np.ndarray) -> pa.Array:
+        size = end - start
+        return pa.StringArray.from_buffers(
+            len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+            pa.py_buffer(data[ragged(start, size)]))
+
+    return text(start, middle), text(middle, end)
+
+
+def _strings(pieces: pa.Array) -> list[str]:
+    """The strings of an array; none has a space in it."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py().split(" ")
 
 
 class PieceEncoder(TwoAges):
@@ -57,23 +106,17 @@ class PieceEncoder(TwoAges):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.stand_ins = stand_ins()
+        self.stand_ins = dict(enumerate(stand_ins()))
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         word = word.lower()
-        known = self.words.get(word)
-        if known is None:
-            shown = word if word.isascii() else "".join(
-                [self.stand_ins[b] for b in unicodedata.normalize("NFC", word).encode()])
-            known = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
-            self.words[word] = known
-        return known
+        if not word.isascii():  # byte by byte
+            word = unicodedata.normalize("NFC", word).encode().decode("latin-1").translate(self.stand_ins)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def make(self, piece: str) -> bytes:
         word, tail = piece, b""
@@ -89,12 +132,15 @@ class PieceEncoder(TwoAges):
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, one after the other with the end id behind each, and their numbers.
 
-        Each different piece of the texts is looked up once; the rest is done on arrays.
+        Each different part of a piece is looked up once; the rest is done on arrays.
         """
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        found = [self[p] for p in coded.dictionary.to_pylist()]
+        words, marks = (x.dictionary_encode() for x in _parted(coded.dictionary))
+        of_word, of_marks = ([self[p] for p in _strings(x.dictionary)] for x in (words, marks))
+        found = [of_word[w] + of_marks[m] for w, m in zip(
+            words.indices.to_numpy().tolist(), marks.indices.to_numpy().tolist())]
         size = np.array([len(f) // 4 for f in found], dtype=np.int64)
         start = np.cumsum(size) - size
         ids = np.append(np.frombuffer(b"".join(found), dtype="<i4"), np.int32(END_ID))
@@ -115,6 +161,17 @@ def _encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``SLICE_BYTES`` of text, which bounds what is held at a time."""
+    end = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = end[begin - 1] if begin else 0
+        stop = max(int(np.searchsorted(end, before + SLICE_BYTES, side="right")), begin + 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None = None) -> None:
     """Encode ``doc_id, text`` and write ``part, doc_id, place, n_tokens, ids`` to ``folder``."""
     spark = docs.sparkSession
@@ -128,8 +185,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, place = _encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):  # bounds what is held at a time
-                some = batch.slice(begin, 512)
+            for some in _slices(batch):
                 flat, sizes = encode(some.column("text"))
                 ends = np.cumsum(sizes)
                 offsets = np.concatenate([[0], ends]).astype(np.int32)

@@ -131,3 +131,14 @@ def test_dialogues_of_many_turns_follow_the_sql_rule(spark):
     rows = [(1, i, "a b" if i < 70 else "c", f"t{i}") for i in range(130)]
     got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.chunk, r.speaker) for r in got} == {(c, s) for c in range(3) for s in ("a\\sb", "c")}
+
+
+def test_token_store_looks_up_a_word_once_whatever_case_and_marks():
+    texts = ["word Word. WORD,## wordé WORDÉ. ÀÇ÷. É×.", "<|ENDOFTEXT|>. a<|endoftext|>A. T̈. İ. x... 'S. It'S,", "", " .", "é. ß###"]
+    encoder = token_store.PieceEncoder(WORDS)
+    made, make = [], encoder.make
+    encoder.make = lambda piece: made.append(piece) or make(piece)
+    ids, sizes = encoder.encode_all(pa.array(texts))
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [token_store.END_ID] for t in texts]
+    assert ids.tolist() == sum(expected, []) and sizes.tolist() == [len(e) for e in expected]
+    assert [p for p in made if p.lower().startswith("word")] == ["word", "wordé"]
