@@ -128,32 +128,41 @@ def frequency_classes(docs: DataFrame, like: Likeness) -> np.ndarray:
             for _, _, found in W.slices(batch, lower=True):
                 np.add.at(counts, _counter(_sets(found, like.width)[1], counters), 1)
         for chunk, part in enumerate(counts.reshape(_CHUNKS, chunk_size)):
-            if part.any():  # byte by byte: the higher ones are nearly all 0
-                packed = zlib.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed])], ["chunk", "counts"])
+            if part.any():  # few counts need more than their lowest byte
+                packed, high = zlib.compress(part.astype(np.uint8).tobytes(), 1), np.flatnonzero(part >> 8)
+                more = np.stack([high.astype(np.uint32), part[high] >> 8]).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([packed]), pa.array([more])], ["chunk", "counts", "more"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
-                total = totals.setdefault(chunk, np.zeros(chunk_size, dtype=np.int64))
-                total += np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+            for chunk, packed, more in zip(*[batch.column(c).to_pylist() for c in ("chunk", "counts", "more")]):
+                if chunk not in totals:
+                    totals[chunk] = np.zeros(chunk_size, dtype=np.int64)
+                totals[chunk] += np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+                high, value = np.frombuffer(more, dtype=np.uint32).reshape(2, -1)
+                totals[chunk][high] += value.astype(np.int64) << 8
         for chunk, total in totals.items():
             logs = np.minimum(np.floor(_OCTAVE * np.log2(total + 1.0) + 1e-9), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([logs.tobytes()])], ["chunk", "logs"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk long, counts binary")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        count, "chunk long, counts binary, more binary")
     summed = stage(parts.repartition("chunk").mapInArrow(add_up, "chunk long, logs binary"), "jaccard-frequencies")
     logs = np.zeros((_CHUNKS, chunk_size), dtype=np.uint8)
     for row in summed.toLocalIterator():  # at most _CHUNKS rows
         logs[row.chunk] = np.frombuffer(row.logs, dtype=np.uint8)
     drop_stage(summed)
     value = 2.0 ** (np.arange(256) / _OCTAVE) - 1
-    mean = float(np.bincount(logs.ravel(), minlength=256) @ value) / counters
+    # Chunk by chunk: as indices the bytes take eight times their room.
+    mean = float(sum(np.bincount(chunk, minlength=256) for chunk in logs) @ value) / counters
     clear = max(RARE / 4, 4 * math.sqrt(mean))
     found = np.where(value - mean > clear, 1 + np.log2(np.maximum(value - mean, clear) / clear), 0)
-    return np.minimum(found, (1 << _CLASS_BITS) - 1).astype(np.uint8)[logs.ravel()]
+    found = np.minimum(found, (1 << _CLASS_BITS) - 1).astype(np.uint8)
+    for chunk in logs:
+        chunk[:] = found[chunk]
+    return logs.ravel()
 
 
 def signatures(docs: DataFrame, like: Likeness, classes: Broadcast) -> DataFrame:
@@ -385,10 +394,15 @@ def _left_open(hot: DataFrame, comps: DataFrame, reps: DataFrame, like: Likeness
     becomes a row.
     """
     comp = comps.select(F.col("node").alias("v"), "component")
-    rows = hot.select("key", "doc").join(comp, F.col("doc") == F.col("v"), "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("c"))
+    # Each document meets its component once, with all its keys in one row: no more than it has tokens.
+    owned = hot.groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    rows = owned.join(comp, F.col("doc") == F.col("v"), "left").select(
+        F.explode("keys").alias("key"), "doc", F.coalesce("component", "doc").alias("c"))
+    apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    apart = apart.filter("low < high").select("k")
+    rows = stage(rows.join(apart, F.col("key") == F.col("k")).drop("k"), "jaccard-apart")
     main = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k")).agg(
-        F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        F.max_by("c", "n").alias("main"))
     facts = reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sketch")
     rows = rows.join(main, F.col("key") == F.col("k")).join(facts, F.col("doc") == F.col("d"))
     side = lambda f, c: f.select(F.col("key").alias(f"k{c}"), F.col("doc").alias(c), F.col("c").alias(f"c{c}"),

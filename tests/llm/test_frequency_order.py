@@ -53,3 +53,29 @@ def test_crowded_counters_lose_no_link(spark, monkeypatch):
                     least[i] = min(least[i], least[j])
     got = jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), LIKE).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(least))
+
+
+def test_counts_beyond_a_byte_in_one_task_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 1 << 10)
+    like = jaccard_join.Likeness(3, 90)
+    docs = spark.createDataFrame([(i, f"a b c w{i} x{i}") for i in range(700)], "doc_id long, text string").coalesce(1)
+    classes = jaccard_join.frequency_classes(docs, like)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c"])], ["text"])
+    (_, _, found), = words.slices(batch)
+    place = jaccard_join._counter(jaccard_join._sets(found, 3)[1], 1 << 10)[0]
+    assert classes[place] == 1 + int(np.log2((2 ** (np.floor(8 * np.log2(701 + 1)) / 8) - 3) / 8)) and classes[place] == classes.max()
+
+
+def test_a_document_meets_its_component_once_whatever_keys_it_has(spark, monkeypatch):
+    """Under keys 1 to 9 are documents 1 to 6: 1 to 4 are one component, 5 and 6 are alone."""
+    made, stage = {}, jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: made.setdefault(name, df) and stage(df, name))
+    hot = spark.createDataFrame([(k, d) for k in range(1, 10) for d in range(1, 7)] + [(10, 1), (10, 2)], "key long, doc long")
+    comps = spark.createDataFrame([(d, 1) for d in range(1, 5)], "node long, component long")
+    reps = spark.createDataFrame([(d, 50, [0] * (jaccard_join.SKETCH_BITS // 64)) for d in range(1, 7)],
+                                 "doc_id long, n_shingles long, sketch array<long>")
+    got = jaccard_join._left_open(hot, comps, reps, jaccard_join.Likeness(3, 90)).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(1, 7) for b in (5, 6) if a < b]
+    plan = made["jaccard-apart"]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [doc" in line for line in plan[plan.index("Join LeftOuter"):].splitlines()[1:4])
+    assert {r.key for r in made["jaccard-apart"].collect()} == set(range(1, 10))
