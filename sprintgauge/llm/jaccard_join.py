@@ -52,6 +52,8 @@ SKETCH_BITS = 1024
 LEADERS = 4
 #: Counters for the frequencies of tokens; a task holds four bytes of each, and one byte of each is broadcast.
 COUNTERS = 1 << 24
+#: Bits per id in a bitmap of ids, and the power of two it has at most (8 MB).
+MARKS, MOST_MARKS = 16, 26
 _SLACK, _SPARE_SHARE = 3, 0.1
 _CHUNKS, _OCTAVE, _CLASS_BITS = 64, 8, 4
 
@@ -202,6 +204,38 @@ def _differ(x: str, y: str) -> Column:
     return reduce(add, bits).cast("long")
 
 
+class _Marks(NamedTuple):
+    """A staged bitmap of ids by hash, one row a bucket: about ``MARKS`` bits an id, at most 2 to the ``MOST_MARKS``."""
+
+    buckets: DataFrame
+    bits: int
+
+    @classmethod
+    def of(cls, ids: DataFrame, column: str) -> "_Marks":
+        bits = 1 << min(max((MARKS * ids.count()).bit_length(), 15), MOST_MARKS)
+        spots = ids.select(cls._spot(column, bits).alias("spot"))
+        return cls(stage(spots.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("marks")), "jaccard-marks"), bits)
+
+    @staticmethod
+    def _spot(column: str, bits: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+
+    def on(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """``rows`` with the boolean ``name``: true for every id that is marked, and for few others.
+
+        The bitmap travels to every task, so the rows need not be shuffled.
+        """
+        spot = self._spot(f"row.{column}", self.bits)
+        # The row travels as one struct: no name of its columns can clash with ours.
+        asked = rows.select(F.struct(*rows.columns).alias("row")).select(
+            "row", F.bitmap_bit_position(spot).cast("int").alias("at"), F.bitmap_bucket_number(spot).alias("to"))
+        byte = F.conv(F.hex(F.expr("substring(marks, at div 8 + 1, 1)")), 16, 10).cast("int")
+        marked = F.coalesce(F.expr("1 << (at % 8)").bitwiseAND(byte) != 0, F.lit(False))
+        # One row a bucket: no row meets two.
+        return asked.join(F.broadcast(self.buckets), F.col("to") == F.col("bucket"), "left").select("row.*", marked.alias(name))
+
+
 def _near_enough(pairs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
     """Pairs whose parity sketches leave the threshold within reach.
 
@@ -398,13 +432,12 @@ def _left_open(hot: DataFrame, comps: DataFrame, reps: DataFrame, like: Likeness
     owned = hot.groupBy("doc").agg(F.collect_list("key").alias("keys"))
     rows = owned.join(comp, F.col("doc") == F.col("v"), "left").select(
         F.explode("keys").alias("key"), "doc", F.coalesce("component", "doc").alias("c"))
-    apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    apart = apart.filter("low < high").select("k")
+    # One row a list says both whether it lies in several components and which is its largest.
+    apart = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k")).agg(
+        F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
     rows = stage(rows.join(apart, F.col("key") == F.col("k")).drop("k"), "jaccard-apart")
-    main = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k")).agg(
-        F.max_by("c", "n").alias("main"))
     facts = reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sketch")
-    rows = rows.join(main, F.col("key") == F.col("k")).join(facts, F.col("doc") == F.col("d"))
+    rows = rows.join(facts, F.col("doc") == F.col("d"))
     side = lambda f, c: f.select(F.col("key").alias(f"k{c}"), F.col("doc").alias(c), F.col("c").alias(f"c{c}"),
                                  F.col("size").alias(f"n{c}"), *_spread_sketch(f"s{c}"))
     x, y = side(rows.filter("c <> main"), "x"), side(rows, "y")
@@ -442,8 +475,12 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.lit(False).alias("crowded")))
         .groupBy("doc").agg(F.max("crowded").alias("crowded")), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stage(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "crowded"), "jaccard-texts")
-    drop_stage(shared, facts, wanted)
+    # A few documents more than wanted change no link: what they meet is verified too.
+    asked, crowd = _Marks.of(wanted, "doc"), _Marks.of(wanted.filter("crowded"), "doc")
+    texts = asked.on(texts.filter("doc_id IS NOT NULL"), "doc_id", "asked").filter("asked")
+    texts = stage(crowd.on(texts.drop("asked"), "doc_id", "crowded"), "jaccard-texts")
+    every, reps = reps, asked.on(reps, "doc_id", "asked").filter("asked").drop("asked")
+    drop_stage(shared, facts, wanted, crowd.buckets)
 
     combos = _shared(_combinations(texts.filter("crowded"), like), "jaccard-combinations")
     hot = stage(_rarest(combos.filter(F.col("n") > RARE)), "jaccard-crowded")
@@ -457,9 +494,9 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     pairs = stage(_candidates(pairs.distinct(), reps, like), "jaccard-candidates")
     drop_stage(short, combos)
     large = hot_counts.filter(F.col("n") > RARE).select(F.col("key").alias("k"), "leaders")
-    crowd = hot
+    most = hot
     hot = stage(hot.join(large, F.col("key") == F.col("k")).select("key", "doc", "leaders"), "jaccard-large")
-    drop_stage(crowd, hot_counts)
+    drop_stage(most, hot_counts)
     star = hot.select("doc", F.explode("leaders").alias("leader")).filter("doc <> leader").select(
         F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     star = stage(_verified(_candidates(star, reps, like), texts, like), "jaccard-stars")
@@ -475,7 +512,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     # Components of components: the first ones are stars around their least id.
     first = comps.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     last = stage(components(first.unionByName(rest)), "jaccard-components")
-    drop_stage(reps, texts, hot, star, pairs, nearest, rest, copies, comps)
+    drop_stage(every, asked.buckets, texts, hot, star, pairs, nearest, rest, copies, comps)
     comps = last
     return rows.join(comps, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
