@@ -52,7 +52,7 @@ SKETCH_BITS = 1024
 LEADERS = 4
 #: Counters for the frequencies of tokens; a task holds four bytes of each, and one byte of each is broadcast.
 COUNTERS = 1 << 24
-#: Bits per id in a bitmap of ids, and the power of two it has at most (8 MB).
+#: Bits in a bitmap of ids for each id it is asked about, and the power of two it has at most (8 MB).
 MARKS, MOST_MARKS = 16, 26
 _SLACK, _SPARE_SHARE = 3, 0.1
 _CHUNKS, _OCTAVE, _CLASS_BITS = 64, 8, 4
@@ -205,14 +205,18 @@ def _differ(x: str, y: str) -> Column:
 
 
 class _Marks(NamedTuple):
-    """A staged bitmap of ids by hash, one row a bucket: about ``MARKS`` bits an id, at most 2 to the ``MOST_MARKS``."""
+    """A staged bitmap of ids by hash, one row a bucket: at most 2 to the ``MOST_MARKS`` bits.
+
+    It has about ``MARKS`` bits for each of the ``among`` rows that it will be asked about, so
+    those marked by chance are few against the marked ids, not only against all rows.
+    """
 
     buckets: DataFrame
     bits: int
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str) -> "_Marks":
-        bits = 1 << min(max((MARKS * ids.count()).bit_length(), 15), MOST_MARKS)
+    def of(cls, ids: DataFrame, column: str, among: int | None = None) -> "_Marks":
+        bits = 1 << min(max((MARKS * (among or ids.count())).bit_length(), 15), MOST_MARKS)
         spots = ids.select(cls._spot(column, bits).alias("spot"))
         return cls(stage(spots.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("marks")), "jaccard-marks"), bits)
@@ -452,7 +456,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the least id reachable by links."""
     frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, like))
     rows = stage(signatures(docs, like, frequency), "jaccard-signatures")
-    frequency.unpersist()
+    frequency.destroy()  # the driver's copies too
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stage(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     key = ["n_shingles", "d1", "d2"]
@@ -476,7 +480,8 @@ def classes(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         .groupBy("doc").agg(F.max("crowded").alias("crowded")), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # A few documents more than wanted change no link: what they meet is verified too.
-    asked, crowd = _Marks.of(wanted, "doc"), _Marks.of(wanted.filter("crowded"), "doc")
+    among = rows.count()
+    asked, crowd = _Marks.of(wanted, "doc", among), _Marks.of(wanted.filter("crowded"), "doc", among)
     texts = asked.on(texts.filter("doc_id IS NOT NULL"), "doc_id", "asked").filter("asked")
     texts = stage(crowd.on(texts.drop("asked"), "doc_id", "crowded"), "jaccard-texts")
     every, reps = reps, asked.on(reps, "doc_id", "asked").filter("asked").drop("asked")

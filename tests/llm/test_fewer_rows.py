@@ -17,6 +17,26 @@ def test_bitmap_keeps_every_wanted_row_and_few_others(spark):
     assert J._Marks.of(wanted.limit(0), "doc").on(rows, "doc_id", "to").filter("to").count() == 0
 
 
+def test_few_marks_catch_few_of_many_rows(spark):
+    """Rows marked by chance are few against the marked ids, however many rows are asked about."""
+    rows = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    wanted = rows.filter("doc_id % 500 = 3").select(F.col("doc_id").alias("doc"))
+    kept = J._Marks.of(wanted, "doc", 200_000).on(rows, "doc_id", "to").filter("to")
+    assert kept.filter("doc_id % 500 = 3").count() == 400
+    assert kept.count() < 1.25 * 400
+
+
+def test_only_crowded_documents_are_cut_into_combinations(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:50] + [f"x{i % 40}y{i}"]) for i in range(60)]
+    apart = [" ".join(f"y{i}z{j}" for j in range(8)) for i in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(near + apart)), "doc_id long, text string")
+    asked, own = [], J._combinations
+    monkeypatch.setattr(J, "_combinations", lambda texts, like: asked.append(texts.count()) or own(texts, like))
+    found = J.classes(docs)
+    assert found.filter("component_id = 0").count() == 60 and asked and 60 <= asked[0] <= 66
+
+
 def test_false_marks_change_no_component(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words[:50] + [f"x{i % 9}"]) for i in range(60)] + [" ".join(f"y{i}z{j}" for j in range(30)) for i in range(20)]
